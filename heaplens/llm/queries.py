@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heaplens.llm.common import read
 
@@ -16,6 +17,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heaplens.llm.op7_line_dedup import line_dedup, words_in
+
+    cut = line_dedup(read(spark, sf_dir, "documents"))
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    return cut.select("doc_id", "n_lines_deleted", n_lines.cast("long").alias("n_lines_left"), F.coalesce(words_in(F.col("text")), F.lit(0)).cast("long").alias("n_words_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heaplens.llm.op8_token_output import token_output
 
@@ -23,7 +32,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_output,)}
+    return {f.__name__: f for f in (op7_line_dedup, op8_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
