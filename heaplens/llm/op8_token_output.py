@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heaplens.llm import huffman
-from heaplens.llm.common import Scratch, partitions
+from heaplens.llm.common import Scratch, checkpoint, partitions
 
 #: Ids in a shard, documents being kept whole.
 SHARD_TOKENS = 1 << 20
 #: Entries of the per-process cache from a word's bytes to its ids.
 CACHE_WORDS = 600_000
-#: A control character that stands between words encoded in one call.
-SEPARATOR = "\x01"
+#: Up to so many shard places (24 bytes each) go to the executors by broadcast, more by a shuffle.
+BROADCAST_SHARDS = 100_000
 NO_ID = -(1 << 63)
 
 
@@ -37,19 +37,24 @@ class WordEncoder:
     """The library's ids of a text, put together from those of its words.
 
     The normaliser and the pre-tokeniser of word-level vocabularies never join characters across ASCII
-    white space, so a text's ids are its words' ids in order; each distinct word is encoded once. Texts
-    with markup that can be a special token go to the library whole.
+    white space, so a text's ids are its words' ids in order; each distinct word is encoded once. Words
+    of Latin letters only are single pre-tokens that normalisation only lower-cases: the library encodes
+    many in one call of a copy that splits at spaces alone, and end-of-word pieces tell them apart. All
+    other words go through the full tokenizer, and texts that may hold a special token go there whole.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.width = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        self.separator = self._ids(SEPARATOR)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.lib, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.lib.get_vocab_size()
+        self.width = "<u2" if size <= 1 << 16 else "<u4"
+        self.ends = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.tail = {p: self._ids(p.decode()) for p in (b".", b",")}
         self.cache: dict[bytes, bytes] = {}
 
@@ -57,20 +62,25 @@ class WordEncoder:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        """Put the words into the cache, many in one call where the separator can be told apart."""
-        odd = [w for w in words if b"\x01" in w]
-        self.cache.update((w, self._ids(w.decode())) for w in odd)
-        plain = [w for w in words if b"\x01" not in w] if odd else words
-        unit, mark = np.dtype(self.width).itemsize, np.frombuffer(self.separator, self.width)
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = np.array(self.lib.encode_batch_fast([f" {SEPARATOR} ".join(w.decode() for w in part)], add_special_tokens=False)[0].ids, self.width)
-            cuts = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else np.zeros(0, np.int64)
-            if len(cuts) != len(part) - 1:
-                self.cache.update((w, self._ids(w.decode())) for w in part)
-                continue
-            raw, ends = ids.tobytes(), [*(unit * cuts).tolist(), unit * len(ids)]
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(unit * (cuts + 1)).tolist()], ends, strict=True))
+        """Put the words into the cache."""
+        unit, letters = np.dtype(self.width).itemsize, {}
+        for w in words:
+            low = w.decode().lower()
+            if low.isalpha() and max(low) < "\u0250":
+                letters.setdefault(low, []).append(w)
+            else:
+                self.cache[w] = self._ids(w.decode())
+        names = list(letters)
+        for k in range(0, len(names), 2000):
+            part = names[k : k + 2000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            cuts = (unit * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw = ids.tobytes()
+            for low, a, b in zip(part, [0, *cuts], cuts, strict=False):
+                for w in letters[low]:
+                    self.cache[w] = raw[a:b]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         raw = [(t or "").encode() for t in texts]
@@ -184,6 +194,8 @@ def read_shards(shards: DataFrame, lengths: np.ndarray, with_ids: bool = False)
                 yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    base = checkpoint(base)
+    base = F.broadcast(base) if base.count() <= BROADCAST_SHARDS else base
     return shards.select("part", "seq", "shard").join(base, ["part", "seq"]).select("base", "shard").mapInArrow(run, schema)
 
 

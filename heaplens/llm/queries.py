@@ -31,8 +31,14 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heaplens.llm.op9_jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_line_dedup, op8_token_output)}
+    return {f.__name__: f for f in (op7_line_dedup, op8_token_output, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
