@@ -35,9 +35,10 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, with A-Z in lower case; how many words each text has), in order."""
-    raw = [(t or "").encode().lower() for t in texts]
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, by default with A-Z in lower case; how many words each text has), in order."""
+    raw = [(t or "").encode() for t in texts]
+    raw = [r.lower() for r in raw] if lower else raw
     data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
     up, down = _powers(max(22, int(len(data)).bit_length()))
     space = _SPACE[data]
