@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heaplens.llm.op1_language_id import language_id
+
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heaplens.llm.op2_quality_rules import quality_rules
 
@@ -44,7 +50,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op7_line_dedup, op8_token_output, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op7_line_dedup, op8_token_output, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
