@@ -29,6 +29,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heaplens.llm.op3_pii import personal_data
+
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heaplens.llm.op4_secret_scan import secret_scan
 
@@ -56,7 +62,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op4_secret_scan, op7_line_dedup, op8_token_output, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_pii, op4_secret_scan, op7_line_dedup, op8_token_output, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
