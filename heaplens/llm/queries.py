@@ -61,8 +61,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heaplens.llm.op10_nbest import digest, nbest_segmentations
+
+    return digest(nbest_segmentations(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_pii, op4_secret_scan, op7_line_dedup, op8_token_output, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_pii, op4_secret_scan, op7_line_dedup, op8_token_output, op9_jaccard_join, op10_nbest)}
 
 
 def oracle_sql() -> dict[str, str]:
