@@ -41,6 +41,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heaplens.llm.op6_media import media_column, media_features
+
+    return media_features(media_column(read(spark, sf_dir, "documents")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heaplens.llm.op7_line_dedup import line_dedup, words_in
 
@@ -68,7 +74,7 @@ def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_pii, op4_secret_scan, op7_line_dedup, op8_token_output, op9_jaccard_join, op10_nbest)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_pii, op4_secret_scan, op6_media, op7_line_dedup, op8_token_output, op9_jaccard_join, op10_nbest)}
 
 
 def oracle_sql() -> dict[str, str]:
