@@ -12,8 +12,10 @@ several dealings where a dealing has fewer. A pair exactly at the threshold is m
    stood for by its least doc_id.
 2. Keys that several classes share are found by a sorted stream; a key of any size is never held in memory.
 3. Each class is verified exactly against the class that it shares most keys with; links merge components.
-4. Keys that still hold several components pair their classes across components. Sizes and sketches rule
-   out most pairs inside the join; the rest is verified exactly. Pairs within a component change nothing.
+4. In keys that still hold several components, classes of different components are compared by size and
+   sketch, in blocks of ``BLOCK`` classes: a larger key is cut into chunks that meet in pairs. What the
+   sketches allow is verified exactly, first one pair for each two components of a key, then, for what is
+   still apart, every pair. Pairs within a component change nothing and are never made.
 
 Verification streams: a hub's set is held while its partners pass; a hub with many partners is salted.
 
@@ -44,6 +46,8 @@ PARTS = 48
 SKETCH = 2048
 #: Partners of a hub that one task verifies.
 SALT_ROWS = 2000
+#: Classes of a key that one task compares with each other.
+BLOCK = 4096
 #: Up to so many documents to fetch again (40 bytes each) are sent to the executors, more by a shuffle.
 BROADCAST_DOCS = 500_000
 #: Up to so many sketches (300 bytes each) are sent to the executors, more meet their pairs by a shuffle.
@@ -205,25 +209,86 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _across(held: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a key and that sizes and sketches don't rule out."""
-    left = held.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = held.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "key").where("ca < cb").select("a", "b").distinct()
-    small = sketches.count() <= BROADCAST_SKETCHES
-    sketches = F.broadcast(sketches.select("rep", "n", "sketch")) if small else sketches
-    x = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+def crossing(comp: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, every: bool) -> list[tuple[int, int]]:
+    """Row pairs of different components that sizes and sketches allow: every one, or one per two components.
+
+    side tells the chunk of each row; with two chunks, only pairs of one row from each are meant.
+    """
+    order = np.lexsort((n, comp))
+    comp, side, n, bits = comp[order], side[order], n[order], bits[order]
+    after = np.searchsorted(comp, comp, side="right")
+    two = side.min() != side.max()
+    root = {int(c): int(c) for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    # Clear cases come first where one pair stands for two components.
+    for margin in (1.0,) if every else (0.8, 1.0):
+        for i in range(len(comp)):
+            at = after[i]
+            if at == len(comp):
+                break
+            fits = (100 * np.minimum(n[i], n[at:]) >= SIMILAR * np.maximum(n[i], n[at:])) & ((side[at:] != side[i]) | (not two))
+            js = at + np.flatnonzero(fits)
+            if len(js) == 0:
+                continue
+            apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
+            most = margin * (100 - SIMILAR) * (n[i] + n[js])
+            near = (100 + SIMILAR) * apart <= most
+            js, apart = js[near], apart[near]
+            if every:
+                out += [(i, int(j)) for j in js]
+                continue
+            for j in js[np.argsort(apart, kind="stable")].tolist():
+                a, b = find(int(comp[i])), find(int(comp[j]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((i, j))
+    return [(int(order[i]), int(order[j])) for i, j in out]
+
+
+def _across(held: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
+    """Distinct pairs (a, b) of representatives by crossing() over each key. held: key, rep, component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            na, nb = t.column(2).to_numpy(), t.column(4).to_numpy()
-            sa, sb = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for i in (3, 5))
-            apart = np.bitwise_count(sa ^ sb).sum(1, dtype=np.int64)
-            fits = (100 * np.minimum(na, nb) >= SIMILAR * np.maximum(na, nb)) & ((100 + SIMILAR) * apart <= (100 - SIMILAR) * (na + nb))
-            yield t.select([0, 1]).filter(pa.array(fits))
+        held_rows: list[pa.RecordBatch] = []
+        at = None
+
+        def pairs():
+            t = pa.Table.from_batches(held_rows)
+            side, rep, comp, n = (t.column(i).to_numpy() for i in (3, 4, 5, 6))
+            bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            found = crossing(comp, side, n, bits, every) if len(rep) > 1 else []
+            a, b = rep[[i for i, _ in found]], rep[[j for _, j in found]]
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+        for batch in batches:
+            group = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2)], 1)
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), len(group)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if held_rows and at != tuple(group[s]):
+                    yield pairs()
+                    held_rows = []
+                at = tuple(group[s])
+                held_rows.append(batch.slice(s, e - s))
+        if held_rows:
+            yield pairs()
+
+    chunks = held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    placed = held.join(chunks, "key").withColumn("side", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "component")
+    known = sketches.select("rep", "n", "sketch")
+    known = F.broadcast(known) if known.count() <= BROADCAST_SKETCHES else known
+    dealt = met.join(known, "rep").select("key", "low", "high", "side", "rep", "component", "n", "sketch").repartition(partitions(held.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -246,21 +311,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rep_of = sketches.select("c1", "rep")
     first = best.join(rep_of.withColumnRenamed("rep", "b"), "c1").join(rep_of.select(F.col("c1").alias("hub"), F.col("rep").alias("a")), "hub").where("a <> b").select("a", "b").distinct()
     links = checkpoint(verified(docs, checkpoint(first), classes))
-    part = components(links)
+    part = checkpoint(components(links))
 
-    placed = shared.join(rep_of, "c1").join(part.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    held = scratch.table(placed.join(mixed_keys, "key", "left_semi").distinct(), "held")
-    more = checkpoint(_across(held, sketches))
-    found = verified(docs, more, classes)
+    placed = checkpoint(shared.join(rep_of, "c1").select("key", "rep").distinct())
+    for every in (False, True):
+        now = placed.join(part.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        held = checkpoint(now.join(mixed_keys, "key", "left_semi"))
+        more = checkpoint(_across(held, sketches, every))
+        links = links.unionByName(checkpoint(verified(docs, more, classes)))
+        if not every:
+            part = checkpoint(components(links))
     # A doc_id with several texts is one vertex: it links their classes.
     several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x < y").select("doc_id")
     own = rows.join(several, "doc_id").join(reps, ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(checkpoint(found)).unionByName(own)
-    part = checkpoint(components(links))
+    part = checkpoint(components(links.unionByName(own)))
     member = reps.join(part.withColumnRenamed("vertex", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     member = checkpoint(member)
-    scratch.drop("shared", "held", "sketches")
+    scratch.drop("shared", "sketches")
     out = rows.join(member, ["c1", "c2"], "left")
     lone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), lone).alias("component_id"))

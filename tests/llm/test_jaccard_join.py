@@ -114,3 +114,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 100), (7, 7), (200, 201), (201, 300), (300, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 100: 50, 200: 200, 201: 200, 300: 200}
+
+
+def test_large_keys_meet_in_blocks(spark, monkeypatch):
+    """A loose group of many variants, with keys cut into chunks of a few classes."""
+    from heaplens.llm import op9_jaccard_join as op
+
+    monkeypatch.setattr(op, "BLOCK", 5)
+    monkeypatch.setattr(op, "SALT_ROWS", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(80):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((d, " ".join(w)))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert len({r.component_id for r in got}) > 3
