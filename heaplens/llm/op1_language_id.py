@@ -161,9 +161,14 @@ def mixtures(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
     return out
 
 
-def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (its proportion), mixture (`label:proportion,...`) of each row."""
+def language_id(docs: DataFrame, model: Model | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score (its proportion), mixture (`label:proportion,...`) of each row.
+
+    columns: further columns of docs to hand through, doc_id and text among them or not.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model or train(docs))  # MAX_LANGS * BUCKETS * 4 bytes at most
+    extra = [c for c in columns if c not in ("doc_id", "held_out", "lang_pred", "score", "mixture")]
+    names = ["doc_id", "held_out", "lang_pred", "score", "mixture", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,10 +182,11 @@ def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
                         pa.array([m[0][0] if m else UNKNOWN for m in found], pa.string()),
                         pa.array([min(1.0, m[0][1]) if m else 0.0 for m in found], pa.float64()),
                         pa.array([",".join(f"{k}:{p:.4f}" for k, p in m) for m in found], pa.string()),
+                        *part.columns[3:],
                     ],
-                    ["doc_id", "held_out", "lang_pred", "score", "mixture"],
+                    names,
                 )
 
-    narrow = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, mixture string")
+    narrow = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text_"), *[F.col(f"`{c}`") for c in extra])
+    given = "".join(f", `{c}` {narrow.schema[c].dataType.simpleString()}" for c in extra)
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, mixture string{given}")

@@ -41,6 +41,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heaplens.llm.common import Scratch
+    from heaplens.llm.op5_mixing import calibrated, cells_of, drawn, measured
+
+    m = measured(read(spark, sf_dir, "documents")).withColumn("row", F.struct("row.doc_id"))
+    m = Scratch(spark, "mixing").table(m, "measured")
+    return drawn(m, calibrated(cells_of(m))).select("row.doc_id", "source", "lang", "topic", "tokens", "ratio", "probability", "sampled")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heaplens.llm.op6_media import media_column, media_features
 
@@ -74,7 +83,7 @@ def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_pii, op4_secret_scan, op6_media, op7_line_dedup, op8_token_output, op9_jaccard_join, op10_nbest)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_pii, op4_secret_scan, op5_mixing, op6_media, op7_line_dedup, op8_token_output, op9_jaccard_join, op10_nbest)}
 
 
 def oracle_sql() -> dict[str, str]:

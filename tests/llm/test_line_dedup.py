@@ -12,8 +12,10 @@ def brute(docs, least):
             for b in range(a, len(lines)):
                 run = tuple(x for _, x in lines[a : b + 1])
                 if sum(len(x.split()) for x in run) >= least:
-                    if first.setdefault(run, d) != d:
-                        gone[d].update(range(lines[a][0], lines[b][0] + 1))
+                    e, _, last = first.setdefault(run, (d, a, b))
+                    low = max(a, last + 1) if e == d else a
+                    if low <= b and (e, last) != (d, b):
+                        gone[d].update(range(lines[low][0], lines[b][0] + 1))
     return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs.items()}
 
 
