@@ -12,6 +12,7 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,10 +28,12 @@ from heaplens.llm.common import Scratch, checkpoint, partitions
 #: Ids in a shard, documents being kept whole.
 SHARD_TOKENS = 1 << 20
 #: Entries of the per-process cache from a word's bytes to its ids.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: Up to so many shard places (24 bytes each) go to the executors by broadcast, more by a shuffle.
 BROADCAST_SHARDS = 100_000
 NO_ID = -(1 << 63)
+#: ASCII characters that are neither letters, digits, white space nor control characters.
+MARKS = string.punctuation.encode()
 
 
 class WordEncoder:
@@ -55,46 +58,68 @@ class WordEncoder:
         size = self.lib.get_vocab_size()
         self.width = "<u2" if size <= 1 << 16 else "<u4"
         self.ends = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.tail = {p: self._ids(p.decode()) for p in (b".", b",")}
         self.cache: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Put the words into the cache."""
-        unit, letters = np.dtype(self.width).itemsize, {}
-        for w in words:
-            low = w.decode().lower()
-            if low.isalpha() and max(low) < "\u0250":
-                letters.setdefault(low, []).append(w)
-            else:
-                self.cache[w] = self._ids(w.decode())
-        names = list(letters)
-        for k in range(0, len(names), 2000):
-            part = names[k : k + 2000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.width)
+    def _letters(self, words: list[bytes]) -> None:
+        """Put words of lower-case Latin letters into the cache."""
+        unit = np.dtype(self.width).itemsize
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.width)
             cuts = (unit * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):
                 raise ValueError("the vocabulary does not mark the ends of words")
             raw = ids.tobytes()
-            for low, a, b in zip(part, [0, *cuts], cuts, strict=False):
-                for w in letters[low]:
-                    self.cache[w] = raw[a:b]
+            self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Put words, whose A-Z are in lower case, into the cache.
+
+        Letters and the ASCII marks after them are two pre-tokens: the ids of the stem, then of the tail.
+        """
+        cache, plain, same, odd, parted = self.cache, set(), {}, [], []
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():  # ASCII letters
+                plain.add(stem)
+            elif not stem:
+                odd.append(w)
+                continue
+            else:
+                low = stem.decode().lower()
+                if not low.isalpha() or max(low) >= "\u0250":
+                    odd.append(w)
+                    continue
+                same[stem] = low.encode()
+                plain.add(same[stem])
+            if len(stem) < len(w):
+                parted.append((w, stem))
+        self._letters(list(plain.difference(cache)))
+        cache.update((w, self._ids(w.decode())) for w in odd)
+        for w, low in same.items():
+            cache[w] = cache[low]
+        for w, stem in parted:
+            tail = w[len(stem) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._ids(tail.decode())
+            cache[w] = cache[stem] + self.tails[tail]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         raw = [(t or "").encode() for t in texts]
         words = [None if b"<|" in r else r.lower().split() for r in raw]
-        new = set().union(*(w for w in words if w)).difference(self.cache)
+        every = set().union(*(w for w in words if w))
+        new = every.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            new = set().union(*(w for w in words if w))
-        # A letter and one final mark are separate pre-tokens: the stem's ids and the mark's.
-        stems = {w: w[:-1] for w in new if w[-1:] in self.tail and w[-2:-1].isalpha()}
-        self._learn(list({stems.get(w, w) for w in new}.difference(self.cache)))
-        cache = self.cache
-        cache.update((w, cache[s] + self.tail[w[-1:]]) for w, s in stems.items())
-        return [self._ids(t) if w is None else b"".join(map(cache.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+            self.tails.clear()
+            new = every
+        self._learn(new)
+        get = self.cache.__getitem__
+        return [self._ids(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
 @lru_cache(maxsize=2)
