@@ -3,8 +3,9 @@
 The piece lattice of a text has an edge for each piece that occurs in it and, for a character that is no
 piece, one for its bytes. Vocabularies of merges have ranks, not probabilities: an edge's score is minus the
 logarithm of the piece's rank plus two, as under Zipf's law; a byte's is ``BYTE_COST`` below the least of them. Models
-of kind unigram keep their own scores. No piece holds ▁ after another character or any newline, so the
-lattice of a text is a chain of lattices of its units, each solved once per process:
+of kind unigram keep their own scores. A text is cut wherever no piece of the vocabulary has the two
+characters side by side: no edge crosses such a place, so the lattice of a text is a chain of lattices of
+its units, each solved once per process:
 
 * forward and backward Viterbi scores, for many units at once in numpy, give the best path and the score of
   the best path through every edge, so the loss of each unit's second best path;
@@ -24,7 +25,6 @@ empty result.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,11 +39,10 @@ N_BEST = 4
 #: Score of a byte below the least score of a piece.
 BYTE_COST = 10.0
 #: Units whose best paths a process keeps.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 #: Characters of units that are solved together.
 CHUNK = 200_000
 MARK = "▁"
-UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -61,8 +60,13 @@ class Lattice:
         usable = [i for i in usable if raw[i] > -1e8]
         ranks = all(raw[i] == int(raw[i]) for i in usable)
         self.score = {names[i]: (-float(np.log(2.0 - raw[i])) if ranks else raw[i], i) for i in usable}
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.score):
-            raise ValueError("the vocabulary has pieces across words")
+        beside = {ab for p in self.score for ab in zip(p, p[1:], strict=False)}
+        place = {c: k for k, c in enumerate(sorted({c for ab in beside for c in ab}), 1)}
+        self.place = np.zeros(0x110000, np.int32)
+        self.place[[ord(c) for c in place]] = list(place.values())
+        self.beside = np.zeros((len(place) + 1,) * 2, bool)  # a few thousand characters squared
+        for a, b in beside:
+            self.beside[place[a], place[b]] = True
         self.byte_score = min(s for s, _ in self.score.values()) - BYTE_COST
         self.byte_id = {int(names[i][3:5], 16): i for i in range(len(names)) if sp.is_byte(i)}
         if len(self.byte_id) != 256:
@@ -213,8 +217,20 @@ class Lattice:
                 heapq.heappush(queue, (round(-(ahead[s] + w + score), 8), s, age, w + score, (ids, suffix)))
         return out
 
-    def units(self, text: str) -> list[str]:
-        return UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
+    def units(self, texts: list[str]) -> list[list[str]]:
+        """Each normalised text, cut where no piece has the two characters side by side."""
+        whole = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        joined = "".join(whole)
+        at = self.place[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = np.cumsum([len(t) for t in whole])
+        cut = np.zeros(len(joined) + 1, bool)
+        cut[1:-1] = ~self.beside[at[:-1], at[1:]] if len(at) > 1 else False
+        cut[ends] = cut[0] = True
+        bounds = np.flatnonzero(cut)
+        cuts = bounds.tolist()
+        parts = [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        n = [0, *np.searchsorted(bounds, ends).tolist()]
+        return [parts[a:b] for a, b in zip(n, n[1:], strict=False)]
 
     def _learn(self, texts: list[list[str]]) -> None:
         every = set().union(*texts)
@@ -247,7 +263,7 @@ class Lattice:
 
     def encode(self, texts: list[str], n: int = N_BEST) -> list[list[tuple[float, bytes]]]:
         """(score, ids) of the n best segmentations of each text, best first."""
-        cut = [self.units(t) for t in texts]
+        cut = self.units(texts)
         self._learn(cut)
         score, loss, count = self.best
         step, out = np.dtype(self.width).itemsize, []

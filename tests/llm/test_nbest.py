@@ -50,7 +50,7 @@ def test_nbest_against_all_paths(text):
 @settings(max_examples=50, deadline=None)
 def test_many_texts_at_once(texts):
     lat = lattice(PATH)
-    units = list(dict.fromkeys(u for t in texts for u in lat.units(t)))
+    units = list(dict.fromkeys(u for t in texts for u in lat.units([t])[0]))
     if units:
         for u, (score, loss, ids) in zip(units, lat.solve(units), strict=True):
             best = lat.nbest(u, 2)
