@@ -213,7 +213,7 @@ def extract(spark: SparkSession, folder: str, out: str, name_filter: str = "") -
     ddl = "snapshot_id string, `table` string, " + ", ".join(f"{t} {s.simpleString()}" for t, s in empty.items())
     # A file is decoded by one task; all its rows are written once and read back by table.
     files.select("path", "content").repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, ddl).write.partitionBy("table").mode("overwrite").parquet(out)
-    return [r.snapshot_id for r in spark.read.parquet(out).where("`table` = 'snapshot_info'").select("snapshot_id").distinct().orderBy("snapshot_id").collect()]
+    return [r.snapshot_id for r in spark.read.schema(ddl).parquet(out).where("`table` = 'snapshot_info'").select("snapshot_id").distinct().orderBy("snapshot_id").collect()]
 
 
 def load(spark: SparkSession, store: str, snapshot_id: str | None = None) -> Snapshot:
@@ -224,6 +224,3 @@ def load(spark: SparkSession, store: str, snapshot_id: str | None = None) -> Sna
     part = lambda t: df.where(F.col("table") == t).select(*keep, f"{t}.*")
     return Snapshot(spark, {t: part(t) for t in (*EXTRACTED, "heap_sections")})
 
-
-def store_summary(df: DataFrame, out: str) -> None:
-    df.write.mode("overwrite").parquet(out)
