@@ -31,7 +31,7 @@ LEAST_DOCS = 100
 #: Fences lie so many interquartile ranges outside the quartiles.
 FENCE = 3.0
 #: Each measure, the least distance of a fence from its quartile, and whether there is a lower fence.
-MEASURES = {"word_length": (1.5, True), "symbols": (0.1, False), "dup_lines": (0.2, False), "repeats": (0.1, False)}
+MEASURES = {"word_length": (1.5, True), "symbols": (0.1, False), "dup_lines": (0.4, False), "repeats": (0.3, False)}
 #: Up to so many groups (about 100 bytes each) are sent to the executors, more meet by a skew-splittable join.
 BROADCAST_GROUPS = 100_000
 _SPACES = b" \t\n\x0b\x0c\r"
