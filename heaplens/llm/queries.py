@@ -87,4 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from heaplens.llm.oracle import SQL
+
+    return dict(SQL)
