@@ -85,3 +85,14 @@ def safe_names(names: DataFrame) -> DataFrame:
 def platform_bucket(platform: Column) -> Column:
     low = F.lower(F.coalesce(platform, F.lit("")))
     return F.when(low == "", "Unknown").when(low.contains("iphone") | low.contains("ios"), "iOS").when(low.contains("android"), "Android").otherwise("Other")
+
+
+def session_title(name: Column, platform: Column, version: Column) -> Column:
+    """What a session is called: product, time, platform, context and version, as far as they are known."""
+    part = lambda k: F.regexp_extract(name, SESSION, k)
+    clock = F.replace(part(3), F.lit("-"), F.lit(":"))
+    context = F.regexp_replace(F.initcap(F.regexp_replace(part(4), "[_-]+", " ")), "(?i)\\bios\\b", "iOS")
+    format_ = F.when(version.startswith("format:"), F.concat(F.lit("Snap format "), F.substring_index(version, ":", -1))).otherwise(version)
+    context = F.coalesce(F.nullif(context, F.lit("")), F.lit("General capture"))
+    known = F.when(platform_bucket(platform) != "Unknown", platform_bucket(platform))
+    return F.when(name.rlike(SESSION), F.concat_ws(" · ", F.nullif(part(1), F.lit("")), part(2), clock, known, context, format_)).otherwise(F.concat_ws(" · ", name, known, format_))

@@ -80,6 +80,13 @@ def test_sessions_and_names(spark):
     assert len(set(files)) == 4 and "c" in files
 
 
+def test_session_titles(spark):
+    rows = [("MyGame_2026-05-13_10-53-31_IOS_U63", None, "format:17"), ("MyGame_2026-05-13_10-28-31", "Android", "format:17"), ("plain", None, "x")]
+    df = spark.createDataFrame(rows, "name string, platform string, version string")
+    got = [r[0] for r in df.select(multi.session_title(df.name, df.platform, df.version)).collect()]
+    assert got == ["MyGame · 2026-05-13 · 10:53:31 · iOS U63 · Snap format 17", "MyGame · 2026-05-13 · 10:28:31 · Android · General capture · Snap format 17", "plain · x"]
+
+
 def test_null_aware_sums_and_drift(spark):
     old = spark.createDataFrame([(1,)], "a int")
     both = multi.unioned({"x": old.selectExpr("a", "cast(5 as long) b"), "y": old}).groupBy("snapshot_id").agg(multi.null_aware_sum("b").alias("b"))
