@@ -70,6 +70,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     found = scratch.table(every.join(marks, "mark", "left_semi"), "found")
     scratch.drop("windows")
     firsts = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("first"), F.max(F.struct("doc_id", "text_hash", "start", "end")).alias("last_")).where("first < last_").select("k1", "k2", "first")
+    # A table of its own, so that the join has an exchange on both sides and can split hot contents.
+    firsts = scratch.table(firsts, "firsts")
     later = found.join(firsts, ["k1", "k2"]).where(F.struct("doc_id", "text_hash", "start", "end") > F.col("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     runs = later.select("doc_id", "text_hash", F.when(same, F.greatest("start", F.col("first.end") + 1)).otherwise(F.col("start")).alias("start"), "end").where(F.col("start") <= F.col("end"))
