@@ -39,9 +39,9 @@ N_BEST = 4
 #: Score of a byte below the least score of a piece.
 BYTE_COST = 10.0
 #: Units whose best paths a process keeps.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 #: Characters of units that are solved together.
-CHUNK = 200_000
+CHUNK = 100_000
 MARK = "▁"
 _BASE = 0x9E3779B97F4A7C15
 
@@ -90,7 +90,7 @@ class Lattice:
         self.slot: dict[str, int] = {}
         self.best = np.zeros(CACHE_UNITS), np.zeros(CACHE_UNITS), np.zeros(CACHE_UNITS, np.int64)
         self.paths: list[bytes] = []
-        self.nbest = lru_cache(maxsize=20_000)(self._nbest)
+        self.nbest = lru_cache(maxsize=5_000)(self._nbest)
 
     def _edges(self, units: list[str]):
         """(start node, end node, score, id or -1 for bytes) of all edges; a unit of k characters has k + 1 nodes."""
