@@ -62,3 +62,29 @@ def held_out():
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Of each operator with caches in the Python workers: how to drop them.
+HOLDERS: dict = {}
+
+
+def only(name: str) -> None:
+    """Called where an operator begins work in a Python worker: drop what other operators left there."""
+    others = [drop for held, drop in HOLDERS.items() if held != name]
+    for drop in others:
+        drop()
+    if others:
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, for workers are kept for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heaplens.llm.common import HOLDERS, only, release
+
 #: Segmentations of each text.
 N_BEST = 4
 #: Score of a byte below the least score of a piece.
@@ -315,6 +317,9 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+HOLDERS["op10"] = lattice.cache_clear
+
+
 def nbest_segmentations(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     """doc_id, ids, nbest, decoded of each row. path: a model file that executors can open.
 
@@ -324,6 +329,7 @@ def nbest_segmentations(docs: DataFrame, path: str, n: int = N_BEST) -> DataFram
     item = pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("op10")
         lat = lattice(path)
 
         def row(found):
@@ -344,6 +350,7 @@ def nbest_segmentations(docs: DataFrame, path: str, n: int = N_BEST) -> DataFram
                     ],
                     ["doc_id", "ids", "nbest", "decoded"],
                 )
+        release()
 
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heaplens.llm.common import held_out
+from heaplens.llm.common import held_out, only, release
 from heaplens.llm.shingles import slices
 
 #: Documents of each language that the model learns from (expected number; the sample is by hash).
@@ -171,6 +171,7 @@ def language_id(docs: DataFrame, model: Model | None = None, columns: tuple[str,
     names = ["doc_id", "held_out", "lang_pred", "score", "mixture", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("op1")
         for b in batches:
             for first, texts in slices(b, 2, 500_000):
                 found = mixtures(shipped.value, texts)
@@ -186,6 +187,7 @@ def language_id(docs: DataFrame, model: Model | None = None, columns: tuple[str,
                     ],
                     names,
                 )
+        release()
 
     narrow = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text_"), *[F.col(f"`{c}`") for c in extra])
     given = "".join(f", `{c}` {narrow.schema[c].dataType.simpleString()}" for c in extra)

@@ -14,8 +14,9 @@ several dealings where a dealing has fewer. A pair exactly at the threshold is m
 3. Each class is verified exactly against the class that it shares most keys with; links merge components.
 4. In keys that still hold several components, classes of different components are compared by size and
    sketch, in blocks of ``BLOCK`` classes: a larger key is cut into chunks that meet in pairs. What the
-   sketches allow is verified exactly, first one pair for each two components of a key, then, for what is
-   still apart, every pair. Pairs within a component change nothing and are never made.
+   sketches allow is verified exactly, first one pair for each two components of a key (of many such pairs
+   the nearest of each class, round by round), then, for what is still apart, every pair. Pairs within a
+   component change nothing and are never made.
 
 Verification streams: a hub's set is held while its partners pass; a hub with many partners is salted.
 
@@ -31,10 +32,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heaplens.llm.common import Scratch, checkpoint, partitions
+from heaplens.llm.common import Scratch, checkpoint, only, partitions, release
 from heaplens.llm.components import components
 from heaplens.llm.shingles import mixed, shingle_sets, slices
 
@@ -48,6 +49,8 @@ SKETCH = 2048
 SALT_ROWS = 2000
 #: Classes of a key that one task compares with each other.
 BLOCK = 4096
+#: Rounds in which classes with many candidates have their nearest ones verified, and how many each.
+ROUNDS, NEAREST = 6, 2
 #: Up to so many documents to fetch again (40 bytes each) are sent to the executors, more by a shuffle.
 BROADCAST_DOCS = 500_000
 #: Up to so many sketches (300 bytes each) are sent to the executors, more meet their pairs by a shuffle.
@@ -107,6 +110,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, n, c1, c2, sketch, keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("op9")
         for b in batches:
             for first, texts in slices(b, 1):
                 sets = shingle_sets(texts)
@@ -121,6 +125,7 @@ def features(docs: DataFrame) -> DataFrame:
                         "keys": pa.array([part_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
                     }
                 )
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch binary, keys array<long>")
 
@@ -200,8 +205,10 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
                         a.append(hub)
                         b.append(doc)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        release()
 
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("n"))
+    # A table of its own, so that the join below has an exchange on both sides and can split hot hubs.
+    salts = checkpoint(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("n")))
     members = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "n").cast("int").alias("salt"), F.lit(False).alias("own"))
     hubs = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(True).alias("own"))
     wanted = checkpoint(members.unionByName(hubs).join(classes.select("doc_id", "c1", "c2"), "doc_id").select("doc_id", "c1", "c2", "hub", "salt", "own"))
@@ -209,8 +216,10 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def crossing(comp: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, every: bool) -> list[tuple[int, int]]:
-    """Row pairs of different components that sizes and sketches allow: every one, or one per two components.
+def crossing(comp: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, every: bool) -> list[tuple[int, int, int]]:
+    """Row pairs, with their distance, of different components that sizes and sketches allow.
+
+    Every one of them, or one per two components.
 
     side tells the chunk of each row; with two chunks, only pairs of one row from each are meant.
     """
@@ -242,18 +251,19 @@ def crossing(comp: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray
             near = (100 + SIMILAR) * apart <= most
             js, apart = js[near], apart[near]
             if every:
-                out += [(i, int(j)) for j in js]
+                out += [(i, int(j), int(d)) for j, d in zip(js, apart, strict=True)]
                 continue
-            for j in js[np.argsort(apart, kind="stable")].tolist():
+            order_ = np.argsort(apart, kind="stable")
+            for j, d in zip(js[order_].tolist(), apart[order_].tolist(), strict=True):
                 a, b = find(int(comp[i])), find(int(comp[j]))
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    out.append((i, j))
-    return [(int(order[i]), int(order[j])) for i, j in out]
+                    out.append((i, j, d))
+    return [(int(order[i]), int(order[j]), d) for i, j, d in out]
 
 
 def _across(held: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
-    """Distinct pairs (a, b) of representatives by crossing() over each key. held: key, rep, component."""
+    """key, a, b, apart: pairs of representatives by crossing() over each key. held: key, rep, component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_rows: list[pa.RecordBatch] = []
@@ -264,8 +274,8 @@ def _across(held: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
             side, rep, comp, n = (t.column(i).to_numpy() for i in (3, 4, 5, 6))
             bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
             found = crossing(comp, side, n, bits, every) if len(rep) > 1 else []
-            a, b = rep[[i for i, _ in found]], rep[[j for _, j in found]]
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            a, b = rep[[i for i, _, _ in found]], rep[[j for _, j, _ in found]]
+            return pa.RecordBatch.from_pydict({"key": pa.array([at[0]] * len(found), pa.int64()), "a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "apart": pa.array([d for *_, d in found], pa.int64())})
 
         for batch in batches:
             group = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2)], 1)
@@ -280,6 +290,8 @@ def _across(held: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
                 held_rows.append(batch.slice(s, e - s))
         if held_rows:
             yield pairs()
+        held_rows = []
+        release()
 
     chunks = held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     placed = held.join(chunks, "key").withColumn("side", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
@@ -288,7 +300,14 @@ def _across(held: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
     known = sketches.select("rep", "n", "sketch")
     known = F.broadcast(known) if known.count() <= BROADCAST_SKETCHES else known
     dealt = met.join(known, "rep").select("key", "low", "high", "side", "rep", "component", "n", "sketch").repartition(partitions(held.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "key long, a long, b long, apart long")
+
+
+def nearest(pairs: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) that are among the n nearest of either end."""
+    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
+    rank = F.row_number().over(Window.partitionBy("end").orderBy("apart", "a", "b"))  # a row per key of a class at most
+    return ends.withColumn("rank", rank).where(F.col("rank") <= n).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -314,14 +333,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     part = checkpoint(components(links))
 
     placed = checkpoint(shared.join(rep_of, "c1").select("key", "rep").distinct())
-    for every in (False, True):
+    every, left = False, ROUNDS
+    while True:
         now = placed.join(part.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        held = checkpoint(now.join(mixed_keys, "key", "left_semi"))
-        more = checkpoint(_across(held, sketches, every))
-        links = links.unionByName(checkpoint(verified(docs, more, classes)))
-        if not every:
-            part = checkpoint(components(links))
+        key = Window.partitionBy("key")
+        several = F.min("component").over(key) < F.max("component").over(key)
+        held = checkpoint(now.withColumn("several", several).where("several").drop("several"))
+        found = checkpoint(_across(held, sketches, every))
+        more = found.select("a", "b", "apart").distinct()
+        many = not every and left > 0 and more.count() > NEAREST * held.select("rep").distinct().count()
+        chosen = checkpoint(nearest(more, NEAREST)) if many else more.select("a", "b")
+        links = links.unionByName(checkpoint(verified(docs, chosen, classes)))
+        if every:
+            break
+        part = checkpoint(components(links))
+        # A key without a candidate has none later either: components only grow.
+        placed = checkpoint(placed.join(found.select("key").distinct(), "key", "left_semi"))
+        every, left = not many, left - 1
     # A doc_id with several texts is one vertex: it links their classes.
     several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x < y").select("doc_id")
     own = rows.join(several, "doc_id").join(reps, ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
