@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each a function of (spark, docs, sf_dir) that returns a DataFrame.
 
 language_id     documents without a recognisable language go; lang becomes the language found
-line_dedup      later copies of repeated runs of lines go; so do documents of which nothing is left
+line_dedup      later copies of repeated runs of lines go, then of words, wherever in a line they start; so do
+                documents of which nothing is left
 jaccard_join    of each component of near duplicates the document with the least doc_id stays
 mixing          documents are drawn by probabilities raked to the target shares
 nbest           the N best segmentations of each text; the last stage returns their digest
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from heaplens.llm.common import Scratch, read
 from heaplens.llm.op1_language_id import UNKNOWN, language_id
 from heaplens.llm.op5_mixing import mixed
-from heaplens.llm.op7_line_dedup import line_dedup
+from heaplens.llm.op7_line_dedup import WORD, line_dedup, passage_dedup
 from heaplens.llm.op9_jaccard_join import jaccard_components
 from heaplens.llm.op10_nbest import digest, nbest_segmentations
 from heaplens.llm.queries import tokenizer_path
@@ -40,6 +41,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lines = Scratch(spark, "lines-cut").table(line_stage(spark, docs, sf_dir), "lines")
+    cut = passage_dedup(lines).where((F.col("n_words_deleted") == 0) | F.col("text").rlike(WORD))
+    n_chars = F.when(F.col("n_words_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = jaccard_components(docs).where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -55,7 +63,7 @@ def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 STAGES = [
     ("language_id", language_stage),
-    ("line_dedup", line_stage),
+    ("line_dedup", passage_stage),
     ("jaccard_join", near_duplicate_stage),
     ("mixing", mixing_stage),
     ("nbest", segmentation_stage),

@@ -19,7 +19,9 @@ whose lines all go becomes ''.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heaplens.llm.common import Scratch, partitions
@@ -28,8 +30,15 @@ from heaplens.llm.common import Scratch, partitions
 MIN_WORDS = 50
 
 
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
+#: Words of a fingerprint of windows of words, if windows have as many.
+MARK_WORDS = 8
+#: Low bits of a word's hash that give its place to the number of the word; no string has more words.
+PLACE = (1 << 30) - 1
+
+
 def words_in(c):
-    return F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+"))
+    return F.regexp_count(c, F.lit(WORD))
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
@@ -74,10 +83,15 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     firsts = scratch.table(firsts, "firsts")
     later = found.join(firsts, ["k1", "k2"]).where(F.struct("doc_id", "text_hash", "start", "end") > F.col("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    runs = later.select("doc_id", "text_hash", F.when(same, F.greatest("start", F.col("first.end") + 1)).otherwise(F.col("start")).alias("start"), "end").where(F.col("start") <= F.col("end"))
+    start = F.when(same, F.greatest("start", F.col("first.end") + 1)).otherwise(F.col("start"))
+    return merged_runs(later.select("doc_id", "text_hash", start.alias("start"), "end"))
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, gone of runs (doc_id, text_hash, start, end) that may overlap or be empty."""
     doc = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
     before = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    islands = runs.distinct().withColumn("new", F.when(F.col("start") > F.coalesce(before, F.lit(-2)) + 1, 1).otherwise(0)).withColumn("island", F.sum("new").over(doc))
+    islands = runs.where(F.col("start") <= F.col("end")).distinct().withColumn("new", F.when(F.col("start") > F.coalesce(before, F.lit(-2)) + 1, 1).otherwise(0)).withColumn("island", F.sum("new").over(doc))
     merged = islands.groupBy("doc_id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return merged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
 
@@ -100,3 +114,93 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = F.when(F.col("gone_").isNull(), text).otherwise(F.expr(KEPT))
     fields = [left.alias("text") if c == "text" else F.col(f"row_.`{c}`") for c in docs.columns if c != "n_lines_deleted"]
     return cut.select(*fields, F.coalesce(count, F.lit(0)).alias("n_lines_deleted"))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for each row."""
+    return F.transform(F.array(value), f)[0]
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def word_marks(text: Column, min_words: int) -> Column:
+    """array<struct<mark,low,high>>: fingerprints, each with the first and last start of the windows that select it."""
+    size = min(MARK_WORDS, min_words)
+    starts = lambda w: F.sequence(F.lit(0), F.size(w) - min_words)
+    placed = lambda w: F.transform(w, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
+    least = lambda w, p: F.transform(starts(w), lambda i: F.array_min(F.slice(p, i + 1, min_words - size + 1)))
+    lows = lambda w, m: F.filter(starts(w), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+
+    def marks(w: Column, m: Column, low: Column) -> Column:
+        def mark(at: Column, k: Column) -> Column:
+            place = F.get(m, at).bitwiseAND(F.lit(PLACE)).cast("int")
+            high = F.coalesce(F.get(low, k + 1), F.size(w) - (min_words - 1)) - 1
+            return F.struct(F.xxhash64(F.slice(w, place + 1, size)).alias("mark"), at.alias("low"), high.alias("high"))
+
+        return F.transform(low, mark)
+
+    found = lambda w: let(placed(w), lambda p: let(least(w, p), lambda m: let(lows(w, m), lambda low: marks(w, m, low))))
+    return let(words_of(text), lambda w: F.when(F.size(w) >= min_words, found(w)))
+
+
+def word_windows(text: Column, ranges: Column, min_words: int) -> Column:
+    """array<struct<start,k1,k2>>: the content keys of the windows of words that start in the ranges."""
+
+    def window(w: Column, i: Column) -> Column:
+        content = F.slice(w, i + 1, min_words)
+        return F.struct(i.alias("start"), F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(17), content).alias("k2"))
+
+    return let(words_of(text), lambda w: F.flatten(F.transform(ranges, lambda r: F.transform(F.sequence(r["low"], r["high"]), lambda i: window(w, i)))))
+
+
+def repeated_words(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_hash, gone: the merged runs of words to delete, as array<struct<start,end>> in order."""
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    every = scratch.table(texts.select("doc_id", "text_hash", F.inline(word_marks(F.col("text"), min_words))), "marks")
+    place = F.struct("doc_id", "text_hash", "low")
+    marks = every.groupBy("mark").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("mark")
+    ranges = every.join(marks, "mark", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    ranges = scratch.table(ranges, "ranges").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "ranges")
+    scratch.drop("marks")
+    some = texts.join(ranges, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
+    found = scratch.table(some.select("doc_id", "text_hash", F.inline(word_windows(F.col("text"), F.col("ranges"), min_words))), "words")
+    place = F.struct("doc_id", "text_hash", "start")
+    firsts = found.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last_")).where("first < last_").select("k1", "k2", "first")
+    firsts = scratch.table(firsts, "word_firsts")
+    later = found.join(firsts, ["k1", "k2"]).where(place > F.col("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    start = F.when(same, F.greatest("start", F.col("first.start") + min_words)).otherwise(F.col("start"))
+    return merged_runs(later.select("doc_id", "text_hash", start.alias("start"), (F.col("start") + (min_words - 1)).alias("end")))
+
+
+def without_words(text: Column, gone: Column) -> Column:
+    """text without the runs of words; of the white space on both sides of a run that with a line end stays, else the first."""
+    last = lambda p: F.size(p) - 1
+
+    def part(p: Column, i: Column) -> Column:
+        low, cut = F.coalesce(F.get(gone, i - 1)["end"] + 1, F.lit(0)), F.get(gone, i)
+        kept = F.array_join(F.slice(p, low + 1, F.coalesce(cut["start"], F.size(p)) - low), "")
+        after = F.regexp_extract(F.get(p, cut["end"]), SPACE + "$", 0)
+        ends = (F.contains(after, F.lit("\n")) | (cut["end"] == last(p))) & (cut["start"] > low)
+        return F.when(ends, F.concat(F.regexp_replace(kept, SPACE + r"\z", ""), after)).otherwise(kept)
+
+    pieces = F.regexp_extract_all(text, F.lit(WORD + SPACE), F.lit(0))
+    left = let(pieces, lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: part(p, i)), ""))
+    return F.when(left.rlike(WORD), F.concat(F.regexp_extract(text, "^" + SPACE, 0), left)).otherwise(F.lit(""))
+
+
+def passage_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with each text cut, and the number of its words deleted as ``n_words_deleted`` beside it."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    gone = scratch.table(repeated_words(narrow, scratch, min_words), "gone").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("gone").alias("gone_"))
+    scratch.drop("words", "word_firsts", "ranges")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_words_deleted"]).alias("row_"))
+    text = F.col("row_.text").cast("string")
+    cut = row.join(gone, F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("hash_")), "left")
+    count = F.aggregate("gone_", F.lit(0), lambda n, x: n + x["end"] - x["start"] + 1)
+    left = F.when(F.col("gone_").isNull(), text).otherwise(without_words(text, F.col("gone_")))
+    fields = [left.alias("text") if c == "text" else F.col(f"row_.`{c}`") for c in docs.columns if c != "n_words_deleted"]
+    return cut.select(*fields, F.coalesce(count, F.lit(0)).alias("n_words_deleted"))
