@@ -2,8 +2,13 @@
 
 Token counts are summed per cell of (source, language, topic). Iterative proportional fitting scales the
 cells until their shares meet the target share of every source, language and topic; a cell's ratio of fitted
-to raw share, times a constant chosen for the expected part of the tokens to keep, is its documents'
-probability, 1 at most. A document is drawn when a hash of its id and text falls below that.
+to raw share, times the part of the tokens to keep, is its documents' probability. Where that exceeds 1 in some
+cell, the probabilities are raked again under that bound, so that the expected sample still meets the targets.
+A document is drawn when a hash of its id and text falls below its probability.
+
+The part to keep comes first: a level whose target share of it is more than the level has is kept whole, and the
+other levels share the rest in proportion to their targets. ``marginals`` shows the raw, target and reached
+shares; levels off their target are logged.
 
 By default the targets are tempered: a level's share to the power of ``TEMPER``, made to add up to 1. The
 topic of a document is the form of its text unless a column says otherwise.
@@ -20,12 +25,15 @@ empty result. Levels that are only in the targets, or only in the data, are left
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heaplens.llm.common import checkpoint
 
+LOG = logging.getLogger(__name__)
 DIMS = ("source", "lang", "topic")
 #: Power of each level's share that is its default target.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 1.0}
@@ -37,6 +45,10 @@ SWEEPS, CLOSE = 200, 1e-9
 DRIVER_CELLS = 100_000
 #: Steps of the search for the constant.
 HALVINGS = 60
+#: Weight of cells that are kept whole.
+WHOLE = 1e200
+#: Difference of shares that is logged, and so many levels at most.
+OFF, LOGGED = 1e-6, 20
 
 
 def tokens_of(text: Column) -> Column:
@@ -119,6 +131,70 @@ def constant_frame(cells: DataFrame, keep: float) -> float:
     return high
 
 
+def bounded(raw: np.ndarray, levels: list[np.ndarray], targets: list[np.ndarray], ratio: np.ndarray, keep: float) -> np.ndarray:
+    """Probabilities of cells: keep * ratio, raked under the bound of 1 if that exceeds it."""
+    p = keep * ratio
+    if p.max() <= 1:
+        return p
+    goals = []
+    for at, target in zip(levels, targets, strict=True):
+        have = np.bincount(at, raw, len(target))
+        share = target / (have / have.sum())
+        goals.append((have, have * np.minimum(1, constant(have, share, keep) * share)))
+    for _ in range(SWEEPS):
+        worst = 0.0
+        for at, (have, goal) in zip(levels, goals, strict=True):
+            now = np.bincount(at, raw * np.minimum(1, p), len(goal))
+            held = np.bincount(at, raw * (p >= 1), len(goal))
+            worst = max(worst, np.abs(now / goal - 1).max())
+            # Cells at the bound stay there while the others grow; neither step goes beyond the goal.
+            free = np.maximum(now - held, 1e-300)
+            up = np.where(goal >= have * (1 - CLOSE), WHOLE, (goal - held) / free)
+            factor = np.where(now - held <= 0, np.minimum(1, goal / now), np.where(goal > now, up, goal / now))
+            p = np.minimum(WHOLE, p * factor[at])
+        if worst < CLOSE:
+            break
+    return np.minimum(1, constant(raw, p, keep) * p)
+
+
+def bounded_frame(cells: DataFrame, targets: dict[str, DataFrame], keep: float, sweeps: int = SWEEPS) -> DataFrame:
+    """cells (with ratio) and their probability: the same as bounded for any number of cells."""
+    now = checkpoint(cells.withColumn("p", F.col("ratio") * float(keep)))
+    if now.agg(F.max("p")).first()[0] <= 1:
+        return now.withColumnRenamed("p", "probability")
+    total, goals = cells.agg(F.sum("raw")).first()[0], {}
+    for dim in DIMS:
+        have = cells.groupBy(F.col(dim).alias("level_")).agg(F.sum("raw").alias("raw"))
+        have = checkpoint(have.join(targets[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", "raw", (F.col("target") / (F.col("raw") / float(total))).alias("ratio")))
+        c = constant_frame(have, keep)
+        goals[dim] = checkpoint(have.select(F.col("level_").alias("level"), F.col("raw").alias("have"), (F.col("raw") * F.least(F.lit(1.0), F.lit(c) * F.col("ratio"))).alias("goal")))
+    for _ in range(sweeps):
+        errors = []
+        for dim in DIMS:
+            sums = now.groupBy(F.col(dim).alias("level_")).agg(F.sum(F.col("raw") * F.least(F.lit(1.0), "p")).alias("now"), F.sum(F.when(F.col("p") >= 1, F.col("raw")).otherwise(0)).alias("held"))
+            up = F.when(F.col("goal") >= F.col("have") * (1 - CLOSE), WHOLE).otherwise((F.col("goal") - F.col("held")) / F.greatest(F.col("now") - F.col("held"), F.lit(1e-300)))
+            down = F.col("goal") / F.col("now")
+            step = F.when(F.col("now") - F.col("held") <= 0, F.least(F.lit(1.0), down)).when(F.col("goal") > F.col("now"), up).otherwise(down)
+            factor = checkpoint(sums.join(goals[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", step.alias("factor_"), F.abs(F.col("now") / F.col("goal") - 1).alias("error")))
+            errors.append(factor.agg(F.max("error")).first()[0])
+            now = now.join(factor, F.col(dim).eqNullSafe(F.col("level_"))).select(*cells.columns, F.least(F.lit(WHOLE), F.col("p") * F.col("factor_")).alias("p"))
+        now = checkpoint(now)
+        if max(errors) < CLOSE:
+            break
+    c = constant_frame(now.select("raw", F.col("p").alias("ratio")), keep)
+    return now.select(*cells.columns, F.least(F.lit(1.0), F.lit(c) * F.col("p")).alias("probability"))
+
+
+def marginals(cells: DataFrame) -> DataFrame:
+    """dim, level, raw, target, reached: shares of each level in the data, as fitted, and in the expected sample."""
+    out = None
+    n = cells.agg(F.sum("raw").alias("all_raw"), F.sum(F.col("raw") * F.col("ratio")).alias("all_target"), F.sum(F.col("raw") * F.col("probability")).alias("all_reached"))
+    for d in DIMS:
+        sums = cells.groupBy(F.lit(d).alias("dim"), F.col(d).alias("level")).agg(F.sum("raw").alias("raw"), F.sum(F.col("raw") * F.col("ratio")).alias("target"), F.sum(F.col("raw") * F.col("probability")).alias("reached"))
+        out = sums if out is None else out.unionByName(sums)
+    return out.crossJoin(F.broadcast(n)).select("dim", "level", *[(F.col(c) / F.col(f"all_{c}")).alias(c) for c in ("raw", "target", "reached")])
+
+
 def calibrated(cells: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """source, lang, topic, raw, ratio, probability of each cell. targets: level, target by dimension."""
     spark = cells.sparkSession
@@ -147,14 +223,17 @@ def calibrated(cells: DataFrame, keep: float = KEEP, targets: dict[str, DataFram
             levels.append(np.array([place[r[d]] for r in rows]))
             target.append(np.array(list(share.values())))
         ratio = rake_local(raw, levels, target) / (raw / raw.sum())
-        p = np.minimum(1, constant(raw, ratio, keep) * ratio)
+        p = bounded(raw, levels, target, ratio, keep)
         fitted = spark.createDataFrame([(r.source, r.lang, r.topic, r.raw, float(x), float(y)) for r, x, y in zip(rows, ratio, p, strict=True)], schema)
     else:
         total = full.agg(F.sum("raw")).first()[0]
         raked = checkpoint(rake_frame(full, shares).withColumn("ratio", F.col("w") / (F.col("raw") / float(total))))
-        c = constant_frame(raked, keep)
-        fitted = raked.select(*DIMS, "raw", "ratio", F.least(F.lit(1.0), F.lit(c) * F.col("ratio")).alias("probability"))
-    return checkpoint(fitted)
+        fitted = bounded_frame(raked, shares, keep).select(*DIMS, "raw", "ratio", "probability")
+    fitted = checkpoint(fitted)
+    off = F.abs(F.col("reached") - F.col("target"))
+    for r in marginals(fitted).where(off > OFF).orderBy(off.desc(), "dim", "level").limit(LOGGED).collect():
+        LOG.warning("mixing, keep %s: %s %s has share %.4f, target %.4f, in the expected sample %.4f", keep, r.dim, r.level, r.raw, r.target, r.reached)
+    return fitted
 
 
 def drawn(m: DataFrame, cells: DataFrame) -> DataFrame:
