@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, else a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = LOCAL_CHECKPOINTS
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -27,16 +30,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of the application: no result may be read after that."""
+    removed(spark, f"{shared_folder(spark)}/heaplens-{spark.sparkContext.applicationId}")
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped before
+        clear(spark)
+
+
+#: Applications whose scratch tables go when the driver ends.
+_ENDING: set[str] = set()
+
+
 class Scratch:
     """Parquet tables of one operator run under the shared folder.
 
-    Spark's committed writes make each table complete whatever executors are lost. Tables that the
-    returned DataFrame still reads stay until ``drop`` or until the shared folder is emptied.
+    Spark's committed writes make each table complete whatever executors are lost. Operators drop what
+    later steps don't read. Tables that a returned DataFrame still reads stay until its reader calls
+    ``clear``, or until the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_folder(spark)}/heaplens-{name}-{uuid.uuid4().hex}"
+        self.spark, app = spark, spark.sparkContext.applicationId
+        self.base = f"{shared_folder(spark)}/heaplens-{app}/{name}-{uuid.uuid4().hex}"
+        if app not in _ENDING:
+            _ENDING.add(app)
+            atexit.register(_clear_at_exit, spark)
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.base}/{name}"
@@ -45,10 +71,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete the named tables, or everything."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in [f"{self.base}/{n}" for n in names] or [self.base]:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            removed(self.spark, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,24 +5,30 @@ is at most the sets' symmetric difference. The same idea finds candidates: withi
 dealt by hash to one part more than the symmetric difference that a linked pair of the band can have, and
 each part has the XOR of its shingles' hashes. By the pigeonhole principle a linked pair agrees in at least
 one part, and by the dealing's randomness in over a third of them, so ``PARTS`` parts are looked at, of
-several dealings where a dealing has fewer. A pair exactly at the threshold is missed with a chance under
-(1 - 1/e) ** PARTS, about 1e-9, and one of similarity 0.9 under 1e-17: of the order of hash collisions.
+several dealings where a dealing has fewer (``parts=None``: every part). A pair exactly at the threshold is
+missed with a chance under (1 - 1/e) ** PARTS, about 1e-9, and one of similarity 0.9 under 1e-17: of the
+order of hash collisions.
 
 1. One pass over the texts gives size, 128-bit set hash, sketch and part keys. Equal sets are one class,
-   stood for by its least doc_id.
-2. Keys that several classes share are found by a sorted stream; a key of any size is never held in memory.
-3. Each class is verified exactly against the class that it shares most keys with; links merge components.
-4. In keys that still hold several components, classes of different components are compared by size and
-   sketch, in blocks of ``BLOCK`` classes: a larger key is cut into chunks that meet in pairs. What the
-   sketches allow is verified exactly, first one pair for each two components of a key (of many such pairs
-   the nearest of each class, round by round), then, for what is still apart, every pair. Pairs within a
-   component change nothing and are never made.
-
-Verification streams: a hub's set is held while its partners pass; a hub with many partners is salted.
+   stood for by its least doc_id; only that one's keys go on.
+2. Partial minima and counts tell the keys that several classes share; each member of such a key is paired
+   with the key's least one. Pairs that sizes and sketches allow are verified exactly; links make components.
+3. In keys of three classes or more that still hold several components, classes of different components are
+   compared by size and sketch, in blocks of ``BLOCK`` classes: a larger key is cut into chunks that meet in
+   pairs. What the sketches allow is verified exactly: all of it if a block finds at most ``ROOM`` pairs a
+   class, else first one pair for each two components, and all that is then still apart in a second round.
+   Pairs within a component change nothing and are never made.
+
+Each step that verifies reads the texts of its candidates only. Keys, hubs and classes of any size are split
+by the skew join or cut into blocks; no group is held whole in memory. The work inside a key grows with the
+square of those of its classes that end in different components, the rows that are moved with that over
+``BLOCK``.
 
 Edge cases: null texts and texts without words have size 0 and stand alone; a null doc_id takes no part and
-gets a null component; repeated doc_ids are one vertex with the links of all its texts; further columns are
-ignored; an empty table gives an empty result.
+gets a null component; repeated doc_ids are one vertex with the links of all its texts, repeated rows one
+class; similarities of exactly 0.8 link; of equal candidates (ties) none goes before the other, for all are
+verified; very long texts are hashed whole, with memory in proportion to the text; further columns, whatever
+their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +38,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heaplens.llm.common import Scratch, checkpoint, only, partitions, release
+from heaplens.llm.common import Scratch, only, partitions, release
 from heaplens.llm.components import components
 from heaplens.llm.shingles import mixed, shingle_sets, slices
 
@@ -45,16 +51,10 @@ SIMILAR = 80
 PARTS = 48
 #: Bits of the sketch.
 SKETCH = 2048
-#: Partners of a hub that one task verifies.
-SALT_ROWS = 2000
 #: Classes of a key that one task compares with each other.
 BLOCK = 4096
-#: Rounds in which classes with many candidates have their nearest ones verified, and how many each.
-ROUNDS, NEAREST = 6, 2
-#: Up to so many documents to fetch again (40 bytes each) are sent to the executors, more by a shuffle.
-BROADCAST_DOCS = 500_000
-#: Up to so many sketches (300 bytes each) are sent to the executors, more meet their pairs by a shuffle.
-BROADCAST_SKETCHES = 100_000
+#: Pairs for each class of a block up to which all of its pairs are verified at once.
+ROOM = 8
 
 
 @lru_cache(maxsize=1)
@@ -66,7 +66,7 @@ def bands() -> np.ndarray:
     return np.array(first)
 
 
-def part_keys(s: np.ndarray) -> np.ndarray:
+def part_keys(s: np.ndarray, wanted: int | None = PARTS) -> np.ndarray:
     """The keys of one set, in its own band and in those of the larger sets that it can link with."""
     n, first = len(s), bands()
     low, high = np.searchsorted(first, [n, n * 100 // SIMILAR], side="right") - 1
@@ -77,14 +77,14 @@ def part_keys(s: np.ndarray) -> np.ndarray:
         if most == 0:
             continue  # only equal sets link here
         parts = most + 1
-        deals = -(-PARTS // parts)
+        deals = -(-(PARTS if wanted is None else wanted) // parts)
         seeds = mixed(np.arange(deals, dtype=np.uint64) + np.uint64(1 + 1000 * band))
         h = mixed(s[None, :] ^ seeds[:, None])
         part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         slot = (part + np.arange(deals, dtype=np.uint64)[:, None] * np.uint64(parts)).ravel()
         h = h.ravel()
-        if parts > PARTS:
-            used = slot < PARTS
+        if wanted is not None and parts > wanted:
+            used = slot < wanted
             slot, h = slot[used], h[used]
         order = np.argsort(slot, kind="stable")
         slot, h = slot[order], h[order]
@@ -106,8 +106,8 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(np.uint64(b).astype(np.int64))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n, c1, c2, sketch, keys of each row."""
+def features(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
+    """doc_id, n, c1, c2, sketch (64 bits a number), keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("op9")
@@ -121,161 +121,129 @@ def features(docs: DataFrame) -> DataFrame:
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "c1": pa.array([h[0] for h in hashes], pa.int64()),
                         "c2": pa.array([h[1] for h in hashes], pa.int64()),
-                        "sketch": pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary()),
-                        "keys": pa.array([part_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        "sketch": pa.array([np.frombuffer(sketch(s), np.int64) for s in sets], pa.list_(pa.int64())),
+                        "keys": pa.array([part_keys(s, parts).view(np.int64) for s in sets], pa.list_(pa.int64())),
                     }
                 )
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, keys array<long>")
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """key, c1, hub for each class of the keys that two or more classes have; hub is the least of them.
+def shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, rep, hub, size of the keys that two classes or more have. keyed: key, rep.
 
-    keyed (key, c1) is dealt and sorted by key, so a key is a run of rows: only its first class is held.
+    hub is the key's least class, size the number of its rows. Counts come before the shuffle; the second
+    join's hot keys are split, for both of its sides are read from tables.
     """
+    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size"))
+    return keyed.join(scratch.table(hubs.where("hub < last").select("key", "hub", "size"), "hubs"), "key")
+
+
+def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of representatives that sizes and sketches allow. sketches: rep, n, sketch."""
+    side = lambda x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    fits = 100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.where(fits).where((100 + SIMILAR) * apart <= (100 - SIMILAR) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hub = last = None
-        told = False
-        for b in batches:
-            k, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if len(k) == 0:
-                continue
-            new = np.concatenate([[k[0] != key], k[1:] != k[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            hubs = np.where(start >= 0, c[np.maximum(start, 0)], hub if hub is not None else 0)
-            other = c != hubs
-            fresh = np.concatenate([[bool(new[0]) or c[0] != last], new[1:] | (c[1:] != c[:-1])])
-            keep = other & fresh
-            # The hub itself is told with the first other class of its key.
-            group = np.cumsum(new)
-            lead = np.zeros(len(k), bool)
-            at = np.flatnonzero(keep)
-            if len(at):
-                g = group[at]
-                lead[at[np.concatenate([[True], g[1:] != g[:-1]])]] = True
-                if told:
-                    lead &= ~((group == 0) & lead)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([k[keep], k[lead]])), pa.array(np.concatenate([c[keep], hubs[lead]])), pa.array(np.concatenate([hubs[keep], hubs[lead]]))], ["key", "c1", "hub"]
-            )
-            tail = group == group[-1]
-            told = bool((keep & tail).any()) or (told and group[-1] == 0)
-            key, hub, last = k[-1], hubs[-1], c[-1]
-
-    dealt = keyed.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key", "c1")
-    return dealt.mapInArrow(run, "key long, c1 long, hub long")
-
-
-def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, c1, c2, hub, salt, own) with the shingle set of each, from the texts themselves."""
+
+def _fetched(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """rep, set: the shingles of the classes needed (rep, c1, c2), from the texts themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("op9")
         for b in batches:
             for first, texts in slices(b, 1):
                 part = b.slice(first, len(texts))
                 sets = shingle_sets(texts)
                 # A doc_id may have several texts: only the class asked for is meant.
                 same = [i for i, (s, x, y) in enumerate(zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)) if set_hash(s) == (x, y)]
-                rows = part.take(pa.array(same, pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(4), rows.column(5), rows.column(6), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["doc_id", "hub", "salt", "own", "set"])
-
-    wanted = wanted.withColumnRenamed("doc_id", "id_")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("id_"))
-    return texts.select("doc_id", "text", "c1", "c2", "hub", "salt", "own").mapInArrow(run, "doc_id long, hub long, salt int, own boolean, set binary")
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["rep", "set"])
+        release()
 
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(needed, "rep")
+    return texts.select("rep", "text", "c1", "c2").mapInArrow(run, "rep long, set array<long>")
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives that link, by their whole sets. classes: doc_id, c1, c2."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, None
-        for batch in batches:
-            a, b = [], []
-            for hub, salt, own, doc, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 0, 4)), strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                if own:
-                    at, mine = (hub, salt), s
-                elif at == (hub, salt):
-                    both = len(np.intersect1d(mine, s, assume_unique=True))
-                    if 100 * both >= SIMILAR * (len(mine) + len(s) - both):
-                        a.append(hub)
-                        b.append(doc)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        release()
+def linked(a: Column, b: Column) -> Column:
+    """Whether two arrays of distinct shingles link."""
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= SIMILAR * (F.size(a) + F.size(b) - both)
 
-    # A table of its own, so that the join below has an exchange on both sides and can split hot hubs.
-    salts = checkpoint(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("n")))
-    members = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "n").cast("int").alias("salt"), F.lit(False).alias("own"))
-    hubs = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(True).alias("own"))
-    wanted = checkpoint(members.unionByName(hubs).join(classes.select("doc_id", "c1", "c2"), "doc_id").select("doc_id", "c1", "c2", "hub", "salt", "own"))
-    dealt = _fetched(docs, wanted).repartition(partitions(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("own").desc())
-    return dealt.mapInArrow(run, "a long, b long")
 
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of representatives that link, by their whole sets. classes: rep, c1, c2."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    needed = scratch.table(classes.join(ends, "rep", "left_semi").select("rep", "c1", "c2").distinct(), f"{name}-needed")
+    sets = scratch.table(_fetched(docs, needed), f"{name}-sets")
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    out = scratch.table(both.where(linked(F.col("set_a"), F.col("set_b"))).select("a", "b").distinct(), f"{name}-links")
+    scratch.drop(f"{name}-needed", f"{name}-sets")
+    return out
 
-def crossing(comp: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, every: bool) -> list[tuple[int, int, int]]:
-    """Row pairs, with their distance, of different components that sizes and sketches allow.
 
-    Every one of them, or one per two components.
+def crossing(comp: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(rows, rows, whether these are all): pairs of different components that sizes and sketches allow.
 
-    side tells the chunk of each row; with two chunks, only pairs of one row from each are meant.
+    Beyond ``most`` pairs only such follow as join components that the pairs before, taken for links, leave
+    apart, the nearest ones. side tells the chunk of each row; with two chunks, only pairs of one row from
+    each are meant.
     """
-    order = np.lexsort((n, comp))
+    order = np.lexsort((comp, n))
     comp, side, n, bits = comp[order], side[order], n[order], bits[order]
-    after = np.searchsorted(comp, comp, side="right")
-    two = side.min() != side.max()
-    root = {int(c): int(c) for c in comp}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    out = []
-    # Clear cases come first where one pair stands for two components.
-    for margin in (1.0,) if every else (0.8, 1.0):
-        for i in range(len(comp)):
-            at = after[i]
-            if at == len(comp):
-                break
-            fits = (100 * np.minimum(n[i], n[at:]) >= SIMILAR * np.maximum(n[i], n[at:])) & ((side[at:] != side[i]) | (not two))
-            js = at + np.flatnonzero(fits)
-            if len(js) == 0:
-                continue
-            apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
-            most = margin * (100 - SIMILAR) * (n[i] + n[js])
-            near = (100 + SIMILAR) * apart <= most
-            js, apart = js[near], apart[near]
-            if every:
-                out += [(i, int(j), int(d)) for j, d in zip(js, apart, strict=True)]
-                continue
-            order_ = np.argsort(apart, kind="stable")
-            for j, d in zip(js[order_].tolist(), apart[order_].tolist(), strict=True):
-                a, b = find(int(comp[i])), find(int(comp[j]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((i, j, d))
-    return [(int(order[i]), int(order[j]), d) for i, j, d in out]
+    upto = np.searchsorted(n, n * 100 // SIMILAR, side="right")
+    two, whole, now, found = side.min() != side.max(), True, comp.copy(), 0
+    left, right = [], []
+    for i in range(len(comp)):
+        label = comp if whole else now
+        js = i + 1 + np.flatnonzero(label[i + 1 : upto[i]] != label[i])
+        if two:
+            js = js[side[js] != side[i]]
+        if len(js) == 0:
+            continue
+        apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
+        fits = (100 + SIMILAR) * apart <= (100 - SIMILAR) * (n[i] + n[js])
+        js, apart = js[fits], apart[fits]
+        if whole and most is not None and found + len(js) > most:
+            whole = False
+            js, apart = js[now[js] != now[i]], apart[now[js] != now[i]]
+        if not whole:
+            js = js[np.argsort(apart, kind="stable")]
+            js = js[np.unique(now[js], return_index=True)[1]]
+        if len(js):
+            now[np.isin(now, now[js])] = now[i]
+            left.append(np.full(len(js), i))
+            right.append(js)
+            found += len(js)
+    none = [np.zeros(0, np.int64)]
+    return order[np.concatenate(left or none)], order[np.concatenate(right or none)], whole
 
 
 def _across(held: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
-    """key, a, b, apart: pairs of representatives by crossing() over each key. held: key, rep, component."""
+    """key, a, b: pairs of representatives by crossing() over each key, and a null pair for a key with more.
+
+    held: key, rep, size, component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("op9")
         held_rows: list[pa.RecordBatch] = []
         at = None
 
         def pairs():
-            t = pa.Table.from_batches(held_rows)
+            t = pa.Table.from_batches(held_rows).combine_chunks()
+            if t.num_rows < 2:
+                return
             side, rep, comp, n = (t.column(i).to_numpy() for i in (3, 4, 5, 6))
-            bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
-            found = crossing(comp, side, n, bits, every) if len(rep) > 1 else []
-            a, b = rep[[i for i, _, _ in found]], rep[[j for _, j, _ in found]]
-            return pa.RecordBatch.from_pydict({"key": pa.array([at[0]] * len(found), pa.int64()), "a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "apart": pa.array([d for *_, d in found], pa.int64())})
+            bits = t.column(7).chunk(0).flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+            i, j, whole = crossing(comp, side, n, bits, None if every else ROOM * len(rep))
+            a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(a), at[0])), "a": pa.array(a), "b": pa.array(b)})
+            if not whole:
+                yield pa.RecordBatch.from_pydict({"key": pa.array([at[0]], pa.int64()), "a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
 
         for batch in batches:
             group = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2)], 1)
@@ -284,79 +252,61 @@ def _across(held: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
                 if s == e:
                     continue
                 if held_rows and at != tuple(group[s]):
-                    yield pairs()
+                    yield from pairs()
                     held_rows = []
                 at = tuple(group[s])
                 held_rows.append(batch.slice(s, e - s))
         if held_rows:
-            yield pairs()
+            yield from pairs()
         held_rows = []
         release()
 
-    chunks = held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    placed = held.join(chunks, "key").withColumn("side", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    met = held.withColumn("side", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "component")
-    known = sketches.select("rep", "n", "sketch")
-    known = F.broadcast(known) if known.count() <= BROADCAST_SKETCHES else known
-    dealt = met.join(known, "rep").select("key", "low", "high", "side", "rep", "component", "n", "sketch").repartition(partitions(held.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(run, "key long, a long, b long, apart long")
-
-
-def nearest(pairs: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) that are among the n nearest of either end."""
-    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
-    rank = F.row_number().over(Window.partitionBy("end").orderBy("apart", "a", "b"))  # a row per key of a class at most
-    return ends.withColumn("rank", rank).where(F.col("rank") <= n).select("a", "b").distinct()
+    dealt = met.join(sketches.select("rep", "n", "sketch"), "rep").select("key", "low", "high", "side", "rep", "component", "n", "sketch")
+    dealt = dealt.repartition(partitions(held.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(run, "key long, a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    every = scratch.table(features(docs), "features")
-    known = every.where("n > 0 and doc_id is not null")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    every = scratch.table(features(docs, parts), "features", "snappy")
     rows = scratch.table(every.select("doc_id", "n", "c1", "c2"), "rows")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    shared = scratch.table(shared_keys(known.select(F.explode("keys").alias("key"), "c1")), "shared")
-    some = shared.select("c1").distinct()
-    sketches = scratch.table(known.join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).where("doc_id = rep").join(some, "c1", "left_semi").select("rep", "c1", "c2", "n", "sketch").dropDuplicates(["rep", "c1", "c2"]), "sketches")
+    known = "n > 0 and doc_id is not null"
+    reps = scratch.table(rows.where(known).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "reps")
+    classes = scratch.table(every.where(known).join(reps, ["c1", "c2"]).where("doc_id = rep").select("rep", "c1", "c2", "n", "sketch", "keys"), "classes", "snappy")
     scratch.drop("features")
-    classes = sketches.select(F.col("rep").alias("doc_id"), "c1", "c2")
-
-    # Each class with the one that it shares most keys with.
-    stars = shared.where("c1 <> hub").groupBy("c1", "hub").agg(F.count("*").alias("k"))
-    best = stars.groupBy("c1").agg(F.max(F.struct("k", "hub")).alias("best")).select("c1", F.col("best.hub").alias("hub"))
-    rep_of = sketches.select("c1", "rep")
-    first = best.join(rep_of.withColumnRenamed("rep", "b"), "c1").join(rep_of.select(F.col("c1").alias("hub"), F.col("rep").alias("a")), "hub").where("a <> b").select("a", "b").distinct()
-    links = checkpoint(verified(docs, checkpoint(first), classes))
-    part = checkpoint(components(links))
-
-    placed = checkpoint(shared.join(rep_of, "c1").select("key", "rep").distinct())
-    every, left = False, ROUNDS
-    while True:
-        now = placed.join(part.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        key = Window.partitionBy("key")
-        several = F.min("component").over(key) < F.max("component").over(key)
-        held = checkpoint(now.withColumn("several", several).where("several").drop("several"))
-        found = checkpoint(_across(held, sketches, every))
-        more = found.select("a", "b", "apart").distinct()
-        many = not every and left > 0 and more.count() > NEAREST * held.select("rep").distinct().count()
-        chosen = checkpoint(nearest(more, NEAREST)) if many else more.select("a", "b")
-        links = links.unionByName(checkpoint(verified(docs, chosen, classes)))
-        if every:
+    shared = scratch.table(shared_keys(classes.select(F.explode("keys").alias("key"), "rep"), scratch), "shared")
+    sketches = scratch.table(classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "c1", "c2", "n", "sketch").dropDuplicates(["rep", "c1", "c2"]), "sketches")
+    scratch.drop("classes", "hubs")
+
+    # Each class with the least one of each of its keys.
+    stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    tested = scratch.table(near(scratch.table(stars, "stars"), sketches), "near")
+    links = verified(docs, tested, sketches, scratch, "star")
+    # What is left in keys of three or more: at most two rounds, the second one without a limit.
+    held = shared.where("size > 2").select("key", "rep", "size").distinct()
+    for every_pair in (False, True):
+        part = components(links).withColumnRenamed("vertex", "rep")
+        now = scratch.table(held.join(part, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component")), f"now-{every_pair}")
+        several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        now = now.join(scratch.table(several, f"several-{every_pair}"), "key", "left_semi")
+        found = scratch.table(_across(now, sketches, every_pair), f"found-{every_pair}")
+        pairs = found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.table(pairs, f"pairs-{every_pair}")
+        links = links.unionByName(verified(docs, pairs, sketches, scratch, f"cross-{every_pair}"))
+        more = found.where("a is null").select("key").distinct()
+        if more.isEmpty():
             break
-        part = checkpoint(components(links))
-        # A key without a candidate has none later either: components only grow.
-        placed = checkpoint(placed.join(found.select("key").distinct(), "key", "left_semi"))
-        every, left = not many, left - 1
+        held, tested = held.join(more, "key", "left_semi"), tested.unionByName(pairs)
     # A doc_id with several texts is one vertex: it links their classes.
-    several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x < y").select("doc_id")
+    several = rows.where(known).groupBy("doc_id").agg(F.min("c1").alias("x"), F.max("c1").alias("y")).where("x < y").select("doc_id")
     own = rows.join(several, "doc_id").join(reps, ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    part = checkpoint(components(links.unionByName(own)))
-    member = reps.join(part.withColumnRenamed("vertex", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    member = checkpoint(member)
-    scratch.drop("shared", "sketches")
+    part = components(links.unionByName(own)).withColumnRenamed("vertex", "rep")
+    member = scratch.table(reps.join(part, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")), "member")
+    scratch.drop("shared", "sketches", "stars", "near", "reps", "star-links", *(f"{t}-{x}" for x in (False, True) for t in ("now", "several", "found", "pairs")), "cross-False-links", "cross-True-links")
     out = rows.join(member, ["c1", "c2"], "left")
     lone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), lone).alias("component_id"))

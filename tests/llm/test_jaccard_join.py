@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from heaplens.llm.common import Scratch
 from heaplens.llm.components import components
 from heaplens.llm.op9_jaccard_join import SKETCH, jaccard_components, shared_keys, sketch
 from heaplens.llm.shingles import shingle_sets
@@ -96,18 +98,14 @@ def test_hamming_distance_is_a_lower_bound(a, d):
     assert apart <= len(d) and len(sketch(x)) * 8 == SKETCH
 
 
-def test_shared_keys_across_batches(spark):
+def test_shared_keys(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(40), rng.randrange(12)) for _ in range(900)] + [(100, 5)] * 50 + [(101, k) for k in range(40)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = sorted(map(tuple, shared_keys(spark.createDataFrame(rows, "key long, c1 long")).collect()))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shared = shared_keys(spark.createDataFrame(rows, "key long, rep long"), Scratch(spark, "test"))
     by = {}
     for k, c in rows:
-        by.setdefault(k, set()).add(c)
-    assert got == sorted((k, c, min(s)) for k, s in by.items() if len(s) > 1 for c in s)
+        by.setdefault(k, []).append(c)
+    assert sorted(map(tuple, shared.collect())) == sorted((k, c, min(s), len(s)) for k, s in by.items() if len(set(s)) > 1 for c in s)
 
 
 def test_components(spark):
@@ -116,12 +114,13 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 100: 50, 200: 200, 201: 200, 300: 200}
 
 
-def test_large_keys_meet_in_blocks(spark, monkeypatch):
-    """A loose group of many variants, with keys cut into chunks of a few classes."""
+@pytest.mark.parametrize("room", [0, 8])
+def test_large_keys_meet_in_blocks(spark, monkeypatch, room):
+    """A loose group of many variants, with keys cut into chunks of a few classes, in two rounds and in one."""
     from heaplens.llm import op9_jaccard_join as op
 
     monkeypatch.setattr(op, "BLOCK", 5)
-    monkeypatch.setattr(op, "SALT_ROWS", 4)
+    monkeypatch.setattr(op, "ROOM", room)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = []
