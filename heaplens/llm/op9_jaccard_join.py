@@ -11,8 +11,8 @@ order of hash collisions.
 
 1. One pass over the texts gives size, 128-bit set hash, sketch and part keys. Equal sets are one class,
    stood for by its least doc_id; only that one's keys go on.
-2. Partial minima and counts tell the keys that several classes share; each member of such a key is paired
-   with the key's least one. Pairs that sizes and sketches allow are verified exactly; links make components.
+2. Minima and counts, partial before the shuffle, tell the keys that several classes share; each member of
+   such a key is paired with the key's least one. Pairs that sizes and sketches allow are verified exactly; links make components.
 3. In keys of three classes or more that still hold several components, classes of different components are
    compared by size and sketch, in blocks of ``BLOCK`` classes: a larger key is cut into chunks that meet in
    pairs. What the sketches allow is verified exactly: all of it if a block finds at most ``ROOM`` pairs a
@@ -53,6 +53,10 @@ PARTS = 48
 SKETCH = 2048
 #: Classes of a key that one task compares with each other.
 BLOCK = 4096
+#: Characters of the texts that a Python worker hashes at once; a longer text goes alone.
+CHARS = 300_000
+#: Rows of keys that a Python worker sums before they are shuffled.
+GATHER = 500_000
 #: Pairs for each class of a block up to which all of its pairs are verified at once.
 ROOM = 8
 
@@ -112,7 +116,7 @@ def features(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("op9")
         for b in batches:
-            for first, texts in slices(b, 1):
+            for first, texts in slices(b, 1, CHARS):
                 sets = shingle_sets(texts)
                 hashes = [set_hash(s) for s in sets]
                 yield pa.RecordBatch.from_pydict(
@@ -130,14 +134,64 @@ def features(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, keys array<long>")
 
 
-def shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, rep, hub, size of the keys that two classes or more have. keyed: key, rep.
+def summed(key: np.ndarray, hub: np.ndarray, last: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of equal keys, in order of keys, as one row each: least hub, greatest last, sum of sizes."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[edge], np.minimum.reduceat(hub[order], edge), np.maximum.reduceat(last[order], edge), np.add.reduceat(size[order], edge)
+
+
+HUB = ("key", "hub", "last", "size")
+
+
+def hubs(keyed: DataFrame) -> DataFrame:
+    """key, hub (its least class), size (its rows) of the keys that two classes or more have. keyed: key, rep.
 
-    hub is the key's least class, size the number of its rows. Counts come before the shuffle; the second
-    join's hot keys are split, for both of its sides are read from tables.
+    Each task sums ``GATHER`` rows at a time before the shuffle; after it, sorted rows are summed as they pass.
     """
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size"))
-    return keyed.join(scratch.table(hubs.where("hub < last").select("key", "hub", "size"), "hubs"), "key")
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("op9")
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= GATHER:
+                yield gathered(held)
+                held, n = [], 0
+        if n:
+            yield gathered(held)
+        held = []
+        release()
+
+    def gathered(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        key, rep = t.column(0).to_numpy(), t.column(1).to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in summed(key, rep, rep, np.ones(len(key), np.int64))], HUB)
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            rows = summed(*(np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, b.columns, strict=True)))
+            # The last key may go on in the next batch.
+            rest = [c[-1:] for c in rows]
+            yield shared([c[:-1] for c in rows])
+        yield shared(rest)
+
+    def shared(rows: list[np.ndarray]) -> pa.RecordBatch:
+        several = rows[1] < rows[2]
+        return pa.RecordBatch.from_arrays([pa.array(rows[k][several]) for k in (0, 1, 3)], ["key", "hub", "size"])
+
+    parts = keyed.select("key", "rep").mapInArrow(before, "key long, hub long, last long, size long")
+    return parts.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key").mapInArrow(after, "key long, hub long, size long")
+
+
+def shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, rep, hub, size: the rows of the keys of hubs(). Hot keys are split, for both sides are tables."""
+    return keyed.join(scratch.table(hubs(keyed), "hubs"), "key")
 
 
 def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -155,7 +209,7 @@ def _fetched(docs: DataFrame, needed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("op9")
         for b in batches:
-            for first, texts in slices(b, 1):
+            for first, texts in slices(b, 1, CHARS):
                 part = b.slice(first, len(texts))
                 sets = shingle_sets(texts)
                 # A doc_id may have several texts: only the class asked for is meant.
@@ -272,15 +326,17 @@ def _across(held: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
 def jaccard_components(docs: DataFrame, parts: int | None = PARTS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    every = scratch.table(features(docs, parts), "features", "snappy")
+    every = scratch.table(features(docs, parts), "features")
     rows = scratch.table(every.select("doc_id", "n", "c1", "c2"), "rows")
     known = "n > 0 and doc_id is not null"
     reps = scratch.table(rows.where(known).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "reps")
-    classes = scratch.table(every.where(known).join(reps, ["c1", "c2"]).where("doc_id = rep").select("rep", "c1", "c2", "n", "sketch", "keys"), "classes", "snappy")
+    classes = every.where(known).join(reps, ["c1", "c2"]).where("doc_id = rep")
+    keyed = scratch.table(classes.select(F.explode("keys").alias("key"), "rep"), "keyed")
+    shared = scratch.table(shared_keys(keyed, scratch), "shared")
+    scratch.drop("keyed", "hubs")
+    sketches = classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "c1", "c2", "n", "sketch")
+    sketches = scratch.table(sketches.dropDuplicates(["rep", "c1", "c2"]), "sketches")
     scratch.drop("features")
-    shared = scratch.table(shared_keys(classes.select(F.explode("keys").alias("key"), "rep"), scratch), "shared")
-    sketches = scratch.table(classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "c1", "c2", "n", "sketch").dropDuplicates(["rep", "c1", "c2"]), "sketches")
-    scratch.drop("classes", "hubs")
 
     # Each class with the least one of each of its keys.
     stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()

@@ -40,7 +40,7 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray
     raw = [(t or "").encode() for t in texts]
     raw = [r.lower() for r in raw] if lower else raw
     data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
-    up, down = _powers(max(20, int(len(data)).bit_length()))
+    up, down = _powers(max(18, int(len(data)).bit_length()))
     space = _SPACE[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
