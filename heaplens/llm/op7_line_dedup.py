@@ -1,20 +1,27 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
 Lines are split at \\n and compared exactly; lines without a word are ignored in comparing. A window is the
-shortest run of lines, forwards or backwards from some line, that has at least ``min_words`` words. Each
-window selects its smallest line hash as fingerprint, so any two equal runs of that many words select the
-same fingerprints. Positions whose fingerprint occurs at more than one place are joined; their windows are
-compared by 128-bit content keys with the earliest window of the same content. Windows that start and end
-at every line extend a match to both its ends: a line goes if and only if it lies in a run of at least
-``min_words`` words that occurred before, by (doc_id, text hash, line). The first occurrence stays whole.
+shortest run of lines, forwards or backwards from some line, that has at least ``min_words`` words.
+
+1. Fingerprints: each window selects its smallest line hash (of equal ones the first), so two equal runs of
+   that many words select the same ones. Only the distinct selected positions go on.
+2. Join: positions whose fingerprint was selected at more than one place stay, and with them their documents.
+3. Extend: from each joined position to the left and to the right, to all windows that selected it. These are
+   compared by 128-bit content keys with the earliest window of the same content; they start or end at every
+   line of a repeated run, so a match reaches both ends of it.
+4. A line goes if and only if it lies in a run of at least ``min_words`` words that occurred before, by
+   (doc_id, text hash, line). The first occurrence stays whole; of a run that overlaps its own first
+   occurrence what lies behind that goes.
 
 Shuffles carry hashes and positions, never lines; texts move once, when they are put together again. Hot
 fingerprints meet as partial minima before the shuffle and in skew-splittable joins after it, and every
 later occurrence is paired with the first one only.
 
 Edge cases: null texts stay null, empty ones empty; doc_ids may be null or repeated (rows equal in doc_id
-and text count as one place and are treated alike); further columns, whatever their names, are kept; a text
-whose lines all go becomes ''.
+and text count as one place and are treated alike, so repeated rows are cut alike); ties in line hashes go to
+the first line; very long texts are rows of lines like others, and are put together in one row again;
+further columns are kept, but for one of the name ``n_lines_deleted`` (``n_words_deleted``), which is
+replaced; an empty table gives an empty result; a text whose lines all go becomes ''.
 """
 
 from __future__ import annotations
@@ -45,39 +52,49 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line, a, b (two hashes of the line), words; only lines with a word."""
     lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.select("doc_id", "text_hash", "line", F.xxhash64("content").alias("a"), F.xxhash64(F.lit(17), "content").alias("b"), words_in(F.col("content")).alias("words"))
-    dealt = lines.where("words > 0").repartition(partitions(docs.sparkSession), "doc_id")
+    dealt = lines.where("words > 0").repartition(partitions(docs.sparkSession), "doc_id", "text_hash")
     return dealt.groupBy("doc_id", "text_hash", "line").agg(*[F.first(c).alias(c) for c in ("a", "b", "words")])
 
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_hash, start, end (lines, inclusive), mark (fingerprint), mark_line, k1, k2 (content)."""
+def windows(lines: DataFrame, min_words: int, content: bool) -> DataFrame:
+    """doc_id, text_hash, start, end (lines, inclusive), mark (fingerprint), mark_line of each window.
+
+    content: with k1, k2, two hashes of the window's lines.
+    """
     doc = Window.partitionBy("doc_id", "text_hash")
     at = lines.withColumn("last", F.sum("words").over(doc.orderBy("line"))).withColumn("first", F.col("last") - F.col("words"))
     out = []
     for by, low, high in (("first", 0, min_words - 1), ("last", 1 - min_words, 0)):
         frame = doc.orderBy(by).rangeBetween(low, high)
-        out.append(
-            at.select(
-                "doc_id",
-                "text_hash",
-                F.min("line").over(frame).alias("start"),
-                F.max("line").over(frame).alias("end"),
-                F.min(F.struct("a", "line")).over(frame).alias("mark"),
-                F.sum("words").over(frame).alias("words"),
-                F.collect_list(F.struct("a", "b")).over(frame).alias("content"),
-            )
-        )
+        seen = [F.min("line").over(frame).alias("start"), F.max("line").over(frame).alias("end"), F.min(F.struct("a", "line")).over(frame).alias("mark"), F.sum("words").over(frame).alias("words")]
+        out.append(at.select("doc_id", "text_hash", *seen, *([F.collect_list(F.struct("a", "b")).over(frame).alias("content")] if content else [])))
     both = out[0].unionByName(out[1].where(F.col("start") < F.col("end"))).where(F.col("words") >= min_words)
-    return both.select("doc_id", "text_hash", "start", "end", F.col("mark.a").alias("mark"), F.col("mark.line").alias("mark_line"), F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(17), "content").alias("k2"))
+    keys = [F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(17), "content").alias("k2")] if content else []
+    return both.select("doc_id", "text_hash", "start", "end", F.col("mark.a").alias("mark"), F.col("mark.line").alias("mark_line"), *keys)
+
+
+def joined_positions(fingerprints: DataFrame, scratch: Scratch) -> DataFrame:
+    """The positions (doc_id, text_hash, mark_line) whose fingerprint (mark) stands at more than one."""
+    place = F.struct("doc_id", "text_hash", "mark_line")
+    several = fingerprints.groupBy("mark").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("mark")
+    return fingerprints.join(scratch.table(several, "several"), "mark").select("doc_id", "text_hash", "mark_line")
+
+
+def extended(lines: DataFrame, positions: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, text_hash, start, end, k1, k2: the windows to both sides of the positions that selected them."""
+    at = positions.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("mark_line").alias("line_"))
+    doc = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
+    some = lines.join(at.select("id_", "hash_").distinct(), doc, "left_semi")
+    return windows(some, min_words, True).join(at, doc & (F.col("mark_line") == F.col("line_")), "left_semi").select("doc_id", "text_hash", "start", "end", "k1", "k2")
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, gone: the merged runs of lines to delete, as array<struct<start,end>> in order."""
-    every = scratch.table(windows(hashed_lines(docs), min_words), "windows")
-    place = F.struct("doc_id", "text_hash", "mark_line")
-    marks = every.groupBy("mark").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("mark")
-    found = scratch.table(every.join(marks, "mark", "left_semi"), "found")
-    scratch.drop("windows")
+    lines = scratch.table(hashed_lines(docs), "lines")
+    fingerprints = scratch.table(windows(lines, min_words, False).select("doc_id", "text_hash", "mark_line", "mark").distinct(), "fingerprints")
+    positions = scratch.table(joined_positions(fingerprints, scratch), "positions")
+    found = scratch.table(extended(lines, positions, min_words), "found")
+    scratch.drop("lines", "fingerprints", "several", "positions")
     firsts = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("first"), F.max(F.struct("doc_id", "text_hash", "start", "end")).alias("last_")).where("first < last_").select("k1", "k2", "first")
     # A table of its own, so that the join has an exchange on both sides and can split hot contents.
     firsts = scratch.table(firsts, "firsts")
@@ -105,7 +122,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with each text cut, and the number of its lines deleted as ``n_lines_deleted`` beside it."""
     scratch = Scratch(docs.sparkSession, "lines")
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    gone = repeated_runs(narrow, scratch, min_words).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("gone").alias("gone_"))
+    gone = scratch.table(repeated_runs(narrow, scratch, min_words), "gone").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("gone").alias("gone_"))
+    scratch.drop("found", "firsts")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_lines_deleted"]).alias("row_"))
     text = F.col("row_.text").cast("string")
     joined = row.join(gone, F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("hash_")), "left")

@@ -49,3 +49,22 @@ def test_repeats_inside_one_document(spark):
     line = " ".join(f"w{i}" for i in range(30))
     got = line_dedup(spark.createDataFrame([(1, "\n".join([line] * 5))], "doc_id long, text string")).first()
     assert got.text == "\n".join([line] * 2)
+
+
+def test_only_selected_positions_are_joined(spark):
+    """Fingerprints are fewer than lines, and documents without a joined one are not looked at again."""
+    from heaplens.llm.common import Scratch
+    from heaplens.llm.op7_line_dedup import extended, hashed_lines, joined_positions, windows
+
+    lone = "\n".join(" ".join(f"lone{i}x{k}" for k in range(5)) for i in range(80))
+    run = "\n".join(" ".join(f"run{i}x{k}" for k in range(5)) for i in range(30))
+    df = spark.createDataFrame([(1, lone), (2, "one line\n" + run), (3, run + "\nend line"), (4, "")], "doc_id long, text string")
+    lines = hashed_lines(df).cache()
+    marks = windows(lines, 50, False).select("doc_id", "text_hash", "mark_line", "mark").distinct()
+    assert marks.where("doc_id = 1").count() < 40
+    at = joined_positions(marks, Scratch(spark, "test"))
+    assert {r.doc_id for r in at.select("doc_id").distinct().collect()} == {2, 3}
+    found = extended(lines, at, 50).collect()
+    # Every line of the run lies in an extended window, on both sides of the positions.
+    assert {x for r in found if r.doc_id == 3 for x in range(r.start, r.end + 1)} >= set(range(30))
+    assert {r.doc_id: r.n_lines_deleted for r in line_dedup(df).collect()} == {1: 0, 2: 0, 3: 30, 4: 0}
