@@ -33,21 +33,21 @@ LINES = f"""with l as (select doc_id, unnest(string_split(text, chr(10))) line,
     select doc_id, cast(n as integer) n_lines_deleted, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) n_lines_left, cast(coalesce(len({_WORDS("text")}), 0) as bigint) n_words_left, sha256(text) text_sha256 from done"""
 
 _GAMMA = (1 + ERROR) / (1 - ERROR)
-_RATIOS = {"word_length": "word_chars / n_words", "symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words"}
-_OUTSIDE = " or ".join([f"coalesce(r.{m} > high_{m}, false)" for m in MEASURES] + [f"coalesce(r.{m} < low_{m}, false)" for m, (_, low) in MEASURES.items() if low])
+_RATIOS = {"word_length": "word_chars / n_words", "symbols": "(n_symbols + 1) / (n_words + 1)", "dup_lines": "(n_dup_lines + 1) / (n_lines + 1)", "repeats": "(n_repeat_words + 1) / (n_words + 1)"}
+_OUTSIDE = " or ".join([f"coalesce(r.{m} > high_{m}, false)" for m in MEASURES] + [f"coalesce(r.{m} < low_{m}, false)" for m, low in MEASURES.items() if low])
 
 
-def _fences(by: str, name: str) -> str:
+def _fences(by: str, name: str, least: int) -> str:
     """A table of limits by group, from the cells' counts."""
     keys, on = (f"{by}, ", by) if by else ("", "true")
-    least = "case measure " + " ".join(f"when '{m}' then {s}" for m, (s, _) in MEASURES.items()) + " end"
-    pick = ", ".join(f"max(case when measure = '{m}' then q1 - greatest({FENCE} * (q3 - q1), {least}) end) low_{m}, max(case when measure = '{m}' then q3 + greatest({FENCE} * (q3 - q1), {least}) end) high_{m}" for m in MEASURES)
-    return f"""{name} as (select {keys}max(docs) docs, {pick} from (select {keys}measure, max(docs) docs, min(case when upto >= 0.25 * docs then v end) q1, min(case when upto >= 0.75 * docs then v end) q3
+    wide = f"case when docs >= {least} and q3 > q1 then pow(q3 / q1, {FENCE}) end"
+    pick = ", ".join(f"max(case when measure = '{m}' then q1 / ratio end) low_{m}, max(case when measure = '{m}' then q3 * ratio end) high_{m}" for m in MEASURES)
+    return f"""{name} as (select {keys}{pick} from (select *, {wide} ratio from (select {keys}measure, max(docs) docs, min(case when upto >= 0.25 * docs then v end) q1, min(case when upto >= 0.75 * docs then v end) q3
         from (select {keys}measure, sum(n) over (partition by {keys}measure order by bucket) upto, sum(n) over (partition by {keys}measure) docs,
-            case when bucket > -1000000 then 2 * pow({_GAMMA!r}, bucket) / {_GAMMA + 1!r} else 0 end v from (select {keys}measure, bucket, sum(n) n from cells group by {keys}measure, bucket)) group by {keys}measure) group by {on})"""
+            2 * pow({_GAMMA!r}, bucket) / {_GAMMA + 1!r} v from (select {keys}measure, bucket, sum(n) n from cells group by {keys}measure, bucket)) group by {keys}measure)) group by {on})"""
 
 
-_LIMITS = ", ".join(f"case when own.docs >= {LEAST_DOCS} then own.{x} when l.docs >= {LEAST_DOCS} then l.{x} else c.{x} end {x}" for m in MEASURES for x in (f"low_{m}", f"high_{m}"))
+_LIMITS = ", ".join(f"coalesce(own.{x}, l.{x}, c.{x}) {x}" for m in MEASURES for x in (f"low_{m}", f"high_{m}"))
 #: Measures from lists of words and lines, sketches as counts by bucket, and the fences of three levels.
 QUALITY = f"""with w as (select doc_id, lang, source, coalesce(text, '') t, {_WORDS("coalesce(text, '')")} ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from documents),
     rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) c from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from w)) where c > 1),
@@ -55,9 +55,9 @@ QUALITY = f"""with w as (select doc_id, lang, source, coalesce(text, '') t, {_WO
     b as (select w.doc_id, lang, source, len(ws) n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(rw.n, 0) n_repeat_words, len(ls) n_lines from w left join rw on rw.doc_id = w.doc_id),
     r as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) base_failed, {", ".join(f"case when not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) then {x} end {m}" for m, x in _RATIOS.items())} from b),
-    cells as (select lang, source, measure, case when x > 0 then ceil(ln(x) / {math.log(_GAMMA)!r}) else -1073741824 end bucket, count(*) n
+    cells as (select lang, source, measure, ceil(ln(x) / {math.log(_GAMMA)!r}) bucket, count(*) n
         from ({" union all ".join(f"select lang, source, '{m}' measure, {m} x from r where not base_failed" for m in MEASURES)}) group by all),
-    {_fences("lang, source", "own")}, {_fences("lang", "by_lang")}, {_fences("", "corpus")},
+    {_fences("lang, source", "own", LEAST_DOCS)}, {_fences("lang", "by_lang", LEAST_DOCS)}, {_fences("", "corpus", 1)},
     lim as (select own.lang, own.source, {_LIMITS} from own left join by_lang l on l.lang is not distinct from own.lang cross join corpus c)
     select r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, (not r.base_failed and not ({_OUTSIDE})) kept, {", ".join(f"r.{m}" for m in MEASURES)}
     from r left join lim on lim.lang is not distinct from r.lang and lim.source is not distinct from r.source"""

@@ -66,5 +66,18 @@ def test_sketches_merge_and_bound_their_error(spark):
         xs = sorted(r[3] / 100 for r in rows if r[0] == lang)
         for share, value in ((0.25, q[lang, "word_length"].q1), (0.75, q[lang, "word_length"].q3)):
             assert value == pytest.approx(xs[-(-int(share * len(xs) * 4) // 4) - (share * len(xs) == int(share * len(xs)))], rel=2 * ERROR + 0.05)
-        assert q[lang, "dup_lines"].q3 == 0 and q[lang, "symbols"].docs == len(xs)
+        assert q[lang, "dup_lines"].q3 == pytest.approx(0.1, rel=2 * ERROR) and q[lang, "symbols"].docs == len(xs)
     assert {r.measure for r in cells.select("measure").distinct().collect()} == set(MEASURES)
+
+
+def test_no_constant_decides(spark):
+    """Rare symbols go where texts are long and even, and stay where the group's own texts are short and mixed."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 6)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(900, 1100))), "en", "long") for i in range(200)]
+    rows += [(1000 + i, " ".join(word() for _ in range(rng.randint(50, 900))), "en", "mixed") for i in range(200)]
+    marked = " ".join(word() + "#" * (i % 40 == 0) for i in range(1000))
+    rows += [(5000, marked, "en", "long"), (5001, marked, "en", "mixed"), (None, marked, "en", "long"), (5000, marked, "en", "long")]
+    got = [(r.doc_id, r.kept) for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()]
+    assert sorted((x for x in got if x[0] is None or x[0] >= 5000), key=str) == sorted([(5000, False), (5001, True), (None, False), (5000, False)], key=str)
+    assert all(kept for d, kept in got if d is not None and d < 1000)
