@@ -55,6 +55,9 @@ SKETCH = 2048
 BLOCK = 4096
 #: Characters of the texts that a Python worker hashes at once; a longer text goes alone.
 CHARS = 300_000
+#: Up to so many classes whose texts are needed (three longs, about 100 bytes each in a hash table: 50 MB) go to
+#: the executors by broadcast; beyond that the texts of all documents are shuffled to them.
+BROADCAST_DOCS = 500_000
 #: Rows of keys that a Python worker sums before they are shuffled.
 GATHER = 500_000
 #: Pairs for each class of a block up to which all of its pairs are verified at once.
@@ -217,6 +220,7 @@ def _fetched(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["rep", "set"])
         release()
 
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_DOCS else needed
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(needed, "rep")
     return texts.select("rep", "text", "c1", "c2").mapInArrow(run, "rep long, set array<long>")
 
