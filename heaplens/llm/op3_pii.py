@@ -1,20 +1,27 @@
 """Personal data by weak supervision: labelers vote on spans, EM weighs them, a classifier decides.
 
 One pass over the texts finds the base spans and looser candidates, with each candidate's votes (1, 0 or
-none) and a few categorical features. Combinations of kind, votes and features are few (``MAX_COMBOS``), so
-they are counted over the whole corpus with partial counts per task. EM on the counts estimates how
-reliable each labeler is when the true label is and is not personal data (Dawid and Skene, 1979); the
-posteriors train a logistic classifier of features and votes. Candidates that it gives at least ``SURE`` are added unless they
-overlap a base span; base spans always stay.
-
-Edge cases: null texts count as empty; repeated rows and null or repeated doc_ids are rows like others;
-further columns are ignored; an empty table gives an empty result; without candidates there is no model.
+none) and hashed features of what the labelers don't look at: trigrams of the span's shape, the words around
+it, its checksum. Combinations of kind and votes are few (``MAX_COMBOS``), so they are counted over the whole
+corpus with partial counts per task. EM on the counts estimates how reliable each labeler is when the true
+label is and is not personal data (Dawid and Skene, 1979). Its posteriors are the soft labels of a logistic
+classifier of the features, which knows the votes of no candidate; it is fitted on a sample by hash of about
+``SAMPLE`` candidates. Candidates that it gives at least ``SURE`` are added unless they overlap a base span;
+base spans always stay.
+
+Edge cases: null texts count as empty; repeated rows and null or repeated doc_ids are rows like others; of
+candidates that overlap, the first one goes, of those that start together (ties) the longest, then the kind
+that is listed first; very long texts are scanned whole in time in proportion to the text, the spans of one
+text being held together; further columns, whatever their names, are ignored; an empty table gives an empty
+result; without candidates there is no model.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heaplens.llm.common import Scratch
+from heaplens.llm.shingles import slices
 
 #: The base kinds in order, then those of candidates only.
 BASE = ("email", "ip", "card", "phone")
@@ -30,8 +38,12 @@ MORE = ("phone_loose", "card_loose", "ssn", "iban", "email_words", "person")
 KINDS = BASE + MORE
 #: Probability from which a candidate is personal data.
 SURE = 0.9
-#: Bound on the combinations that are counted: 10 kinds, 3**5 vote patterns, 64 feature values.
-MAX_COMBOS = len(KINDS) * 3**5 * 64
+#: Bound on the combinations that are counted: 10 kinds, 3**5 vote patterns.
+MAX_COMBOS = len(KINDS) * 3**5
+#: Candidates that the classifier learns from (expected number, by hash) and the buckets of its features.
+SAMPLE, FEATURES = 10_000, 1 << 13
+#: Steps, step size and ridge of the classifier's fit.
+STEPS, RATE, RIDGE = 150, 0.1, 1e-4
 #: Characters before and after a span in which context labelers look for cues.
 REACH = 40
 
@@ -89,7 +101,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", at + 1)
     if not DIGIT.search(text):
         return out
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(q) < 4 and int(q or 0) <= 255 for q in (p.lstrip("0") for p in m[0].split(".")))]
     for m in CARD.finditer(text):
         if 16 <= m.end() - m.start():
             digits = m[0].replace(" ", "").replace("-", "")
@@ -171,36 +183,52 @@ def shaped(kind: int, span: str, left: str, right: str) -> int:
     return 1
 
 
+def shape(span: str) -> str:
+    """The classes of the characters, runs of four at most."""
+    return re.sub(r"(.)\1{4,}", r"\1\1\1\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in span))
+
+
+def features(kind: int, span: str, before: str, after: str) -> list[int]:
+    """Buckets of the kind, the span's shape trigrams and checksum, and the words around; no cue or list."""
+    name, form = family(kind), f"^{shape(span)}$"
+    told = [f"kind {KINDS[kind]}", f"{name} check {checks_out(kind, span)}"]
+    told += [f"{name} shape {form[i : i + 3]}" for i in range(len(form) - 2)]
+    told += [f"{name} before {w}" for w in re.findall(r"\w+", before)[-3:]] + [f"{name} after {w}" for w in re.findall(r"\w+", after)[:1]]
+    return sorted({zlib.crc32(t.encode("utf-8", "surrogatepass")) % FEATURES for t in told})
+
+
 def candidates(text: str) -> list[dict]:
     """Base spans and candidates that don't repeat one, with votes (base 3 digits) and features."""
     base = base_spans(text)
-    taken, out = sorted((s, e) for _, s, e in base), []
+    taken = sorted((s, e) for _, s, e in base)
+    # Ends that grow with the starts: the furthest end of the spans up to each one.
+    starts, ends, out = [s for s, _ in taken], [], []
+    for _, e in taken:
+        ends.append(max(e, ends[-1]) if ends else e)
     for kind, start, end in base + loose_spans(text):
-        own = kind < len(BASE)
-        if not own and any(s < end and e > start for s, e in taken):
-            continue
+        if kind >= len(BASE):
+            at = bisect_right(starts, end - 1)
+            if at and ends[at - 1] > start:
+                continue
         span, before = text[start:end], text[max(0, start - REACH) : start].lower()
         votes = 0
         for v in (checks_out(kind, span), listed(kind, span), cued(kind, before), warned(kind, before), shaped(kind, span, text[start - 1 : start], text[end : end + 1])):
             votes = votes * 3 + v + 1
-        digits = sum(c.isdigit() for c in span)
-        feature = min(digits // 3, 7) * 8 + min(sum(not c.isalnum() for c in span), 3) * 2 + int(bool(before.strip()))
-        out.append({"kind": kind, "start": start, "end": end, "votes": votes, "feature": feature})
+        out.append({"kind": kind, "start": start, "end": end, "votes": votes, "features": features(kind, span[:200], before, text[end : end + REACH].lower())})
     return out
 
 
-SPANS = "array<struct<kind:int,start:int,end:int,votes:int,feature:int>>"
+SPANS = "array<struct<kind:int,start:int,end:int,votes:int,features:array<int>>>"
 
 
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, spans of each row."""
-    item = pa.struct([(n, pa.int32()) for n in ("kind", "start", "end", "votes", "feature")])
+    item = pa.struct([*((n, pa.int32()) for n in ("kind", "start", "end", "votes")), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([candidates(t or "") for t in part.column(1).to_pylist()], pa.list_(item))], ["doc_id", "spans"])
+            for first, texts in slices(b, 1):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array([candidates(t or "") for t in texts], pa.list_(item))], ["doc_id", "spans"])
 
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
@@ -228,36 +256,39 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, steps: int = 60) -> tuple[np
     return p, rates
 
 
-def design(kind: np.ndarray, votes: np.ndarray, feature: np.ndarray) -> np.ndarray:
-    """The classifier's one-hot columns: kind, each labeler's vote, digits, separators, text before, constant."""
-    hot = lambda x, k: np.eye(k)[x]
-    return np.concatenate([hot(kind, len(KINDS)), *(hot(votes[:, j] + 1, 3) for j in range(votes.shape[1])), hot(feature // 8, 8), hot(feature // 2 % 4, 4), hot(feature % 2, 2), np.ones((len(kind), 1))], 1)
+def score(rows: list[list[int]], w: np.ndarray) -> np.ndarray:
+    """Log-odds of rows of feature buckets; the last weight is the constant."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    every = np.concatenate([np.array(r, np.int64) for r in rows])
+    return np.add.reduceat(w[every], np.cumsum(sizes) - sizes) + w[-1]
 
 
-def fit(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels p with counts n, by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (p - q)) - ridge * w
-        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
+def fit(rows: list[list[int]], p: np.ndarray) -> np.ndarray:
+    """Logistic regression of soft labels p on feature buckets, by Adam with a fixed number of steps."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    every, at = np.concatenate([np.array(r, np.int64) for r in rows]), np.repeat(np.arange(len(rows)), sizes)
+    w, first, second = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
+    for step in range(1, STEPS + 1):
+        error = 1 / (1 + np.exp(-np.clip(score(rows, w), -30, 30))) - p
+        grad = np.append(np.bincount(every, error[at], FEATURES), error.sum()) / len(rows) + RIDGE * w
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
+        w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w
 
 
-def classifier(spans: DataFrame) -> dict[tuple[int, int, int], float]:
-    """Probability of personal data for each (kind, votes, feature) that occurs."""
-    rows = spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.feature").agg(F.count("*").alias("n")).orderBy("kind", "votes", "feature").limit(MAX_COMBOS).collect()
+def classifier(spans: DataFrame, size: int = SAMPLE) -> np.ndarray | None:
+    """Weights of the features, from EM on the counts of votes and a sample of the candidates."""
+    each = spans.select(F.explode("spans").alias("s"))
+    rows = each.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()  # MAX_COMBOS at most
     if not rows:
-        return {}
-    kind, packed, feature, n = (np.array(c) for c in zip(*rows, strict=True))
-    votes = votes_of(packed)
-    p, _ = reliabilities(votes, n)
-    x = design(kind, votes, feature)
-    q = 1 / (1 + np.exp(-np.clip(x @ fit(x, p, n), -30, 30)))
-    return {(int(k), int(v), int(f)): float(y) for k, v, f, y in zip(kind, packed, feature, q, strict=True)}
+        return None
+    n = np.array([r.n for r in rows])
+    p, _ = reliabilities(votes_of(np.array([r.votes for r in rows])), n)
+    soft = {(r.kind, r.votes): x for r, x in zip(rows, p, strict=True)}
+    drawn = F.pmod(F.xxhash64(F.lit(3), "doc_id", "s.start", "s.kind"), F.lit(1 << 30)) < int(min(1.0, size / n.sum()) * (1 << 30))
+    sample = spans.select("doc_id", F.explode("spans").alias("s")).where(drawn).select("s.kind", "s.votes", "s.features").collect()  # about ``size``
+    told = sorted((list(r.features), soft[r.kind, r.votes]) for r in sample)
+    return fit([f for f, _ in told], np.array([y for _, y in told])) if told else None
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -267,7 +298,8 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each row."""
     spans = Scratch(docs.sparkSession, "pii").table(found(docs), "spans")
-    sure = {k for k, p in classifier(spans).items() if p >= SURE}  # at most MAX_COMBOS
+    weights = classifier(spans)  # FEATURES numbers
+    least = float(np.log(SURE / (1 - SURE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,8 +307,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
             for row in b.column(1).to_pylist():
                 base = [(s["kind"], s["start"], s["end"]) for s in row if s["kind"] < len(BASE)]
                 added, end = [], -1
-                for s in sorted((s for s in row if s["kind"] >= len(BASE)), key=lambda s: (s["start"], -s["end"], s["kind"])):
-                    if s["start"] >= end and (s["kind"], s["votes"], s["feature"]) in sure:
+                loose = sorted((s for s in row if s["kind"] >= len(BASE)), key=lambda s: (s["start"], -s["end"], s["kind"]))
+                odds = score([s["features"] for s in loose], weights) if loose and weights is not None else [-1.0] * len(loose)
+                for s, x in zip(loose, odds, strict=True):
+                    if s["start"] >= end and x >= least:
                         added.append((s["kind"], s["start"], s["end"]))
                         end = s["end"]
                 for i, k in enumerate(BASE):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -47,9 +48,66 @@ def test_em_recovers_reliabilities():
 
 
 def test_classifier_fits_soft_labels():
-    x = np.array([[1, 0, 1.0], [0, 1, 1.0]])
-    q = 1 / (1 + np.exp(-x @ op.fit(x, np.array([0.9, 0.2]), np.array([1000, 1000]))))
-    assert np.abs(q - [0.9, 0.2]).max() < 0.01
+    rows, p = [[1, 5], [2, 5]] * 500, np.array([0.9, 0.2] * 500)
+    q = 1 / (1 + np.exp(-op.score([[1, 5], [2, 5], [5]], op.fit(rows, p))))
+    assert abs(q[0] - 0.9) < 0.02 and abs(q[1] - 0.2) < 0.02 and 0.2 < q[2] < 0.9
+
+
+def test_numbers_of_any_length():
+    assert op.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+    assert op.base_spans("9" * 5000 + ".1.1.1 1.1." + "7" * 6000 + ".1") == []
+    for t in ("0" * 5000 + ".1.1.1", "9" * 1_000_000, "DE12" + "1234" * 100_000, "+" + "1" * 1_000_000, "1.1.1." * 200_000):
+        op.candidates(t)
+
+
+def test_many_spans_in_a_text_take_linear_time():
+    seconds = []
+    for n in (2_000, 16_000):
+        text = "".join(f"joe{i}@mail.example.com Mr. Adam Berg 212-555-01{i % 90 + 10} " for i in range(n))
+        began = time.perf_counter()
+        spans = op.candidates(text)
+        seconds.append(time.perf_counter() - began)
+        assert sum(s["kind"] == 0 for s in spans) == n and len(spans) >= 2 * n
+    assert seconds[1] < 24 * seconds[0]
+
+
+def test_overlaps_against_brute_force():
+    rng = random.Random(6)
+    parts = ["joe@mail.example.com", "4111 1111 1111 1111", "+1 (212) 555-7713", "(212) 555-7713", "4111-1111-1111-1112", "Mr. Berg", "10.2.3.4", "078-05-1120", " ", " ", "x"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(12))
+        base = op.base_spans(text)
+        want = base + [c for c in op.loose_spans(text) if not any(s < c[2] and e > c[1] for _, s, e in base)]
+        assert [(c["kind"], c["start"], c["end"]) for c in op.candidates(text)] == want
+
+
+def test_planted_spans_are_added_and_decoys_left(spark):
+    """Precision and recall of added spans, over contexts of which the labelers know a part only."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: rng.choice("lorem ipsum dolor sit amet consectetur adipiscing elit".split())
+    rows, planted = [], set()
+    for i in range(1500):
+        kind = rng.choice(["ssn", "phone_loose", "email_words", "decoy", "decoy", "none"])
+        lead = " ".join(word() for _ in range(8))
+        if kind == "ssn":
+            cue, span = rng.choice(["ssn", "social security", "taxpayer", "insured under"]), f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{digits(3)}7"
+        elif kind == "phone_loose":
+            cue, span = rng.choice(["phone", "call", "reach me", "ring"]), f"({rng.randint(210, 899)}) {rng.randint(210, 899)}-{digits(4)}"
+        elif kind == "email_words":
+            cue, span = rng.choice(["email", "contact", "ping"]), f"joe{i} [at] mail{i % 9} [dot] com"
+        elif kind == "decoy":
+            cue, span = rng.choice([("serial", f"0{digits(15)}"), ("version", f"000-{digits(2)}-0000"), ("order", f"9{digits(15)}"), ("figure", f"9{digits(2)}-00-{digits(4)}"), ("part no", f"1{digits(2)} 0{digits(2)} {digits(4)}")])
+        else:
+            cue, span = "", ""
+        rows.append((i, f"{lead} {cue} {span} {word()} joe@mail.example.com phone +1 (212) 555-7713 from 10.2.3.4"))
+        if kind not in ("decoy", "none"):
+            planted.add((i, kind))
+    got = op.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r.doc_id, s.split(":")[0]) for r in got for s in r.spans.split(",") if s.split(":")[0] in op.MORE}
+    right = len(added & planted)
+    print("precision", right / max(1, len(added)), "recall", right / len(planted))
+    assert right >= 0.95 * len(added) and right >= 0.9 * len(planted)
 
 
 def test_query_columns_and_added_spans(spark):
