@@ -75,6 +75,13 @@ class Scratch:
             removed(self.spark, path)
 
 
+def filesystem(uri: str):
+    """(pyarrow file system, path in it) of a folder that the driver and the executors share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "hdfs:")) else f"file://{uri}")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

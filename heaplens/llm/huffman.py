@@ -1,12 +1,26 @@
-"""Canonical length-limited Huffman coding of token ids in independently decodable blocks (numpy)."""
+"""Canonical length-limited Huffman coding of token ids in independently decodable blocks (numpy).
+
+A folder of token files has one dictionary and any number of shards. All numbers are little-endian.
+
+dictionary  magic, number of ids (8 bytes), the code length of each id (a byte each), CRC-32 of all that
+shard       magic, SHA-256 of the dictionary's file, documents, tokens, blocks, words (8 bytes each); of each
+            document its id (8 bytes) and number of tokens (4); the bit offset of each block of ``BLOCK`` tokens
+            (8); the codes as big-endian 64-bit words, first bit first; CRC-32 of all that
+
+Canonical codes follow from the lengths, so the two kinds of files hold all that decoding needs.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 
 import numpy as np
 
-MAGIC = b"HLTK0001"
+MAGIC, DICTIONARY = b"HLTK0002", b"HLTD0001"
+HEAD = "<8s32s4Q"
+HEAD_SIZE = struct.calcsize(HEAD)
 #: Longest code in bits; the decoding table has 2**MAX_BITS entries.
 MAX_BITS = 20
 #: Tokens in a block; each block has its bit offset in the checkpoint list.
@@ -113,20 +127,49 @@ def decode(words: np.ndarray, checkpoints: np.ndarray, n: int, table: tuple[np.n
     return out.ravel()[:n] if len(checkpoints) else np.zeros(0, np.uint32)
 
 
-def pack(doc_ids: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    """One shard: header (magic, documents, tokens, blocks, words), document index, checkpoints, stream."""
-    words, checkpoints = encode(ids, lengths, codes)
-    head = struct.pack("<8s4Q", MAGIC, len(doc_ids), len(ids), len(checkpoints), len(words))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), n_tokens.astype("<u4").tobytes(), checkpoints.astype("<u8").tobytes(), words.tobytes()])
-
-
-def unpack(shard: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, tokens of each, all ids) of a shard; a wrong magic or length is an error."""
-    magic, docs, n, blocks, count = struct.unpack_from("<8s4Q", shard)
-    if magic != MAGIC or len(shard) != 40 + 12 * docs + 8 * (blocks + count):
-        raise ValueError("not a whole token shard")
-    doc_ids = np.frombuffer(shard, "<i8", docs, 40)
-    sizes = np.frombuffer(shard, "<u4", docs, 40 + 8 * docs)
-    checkpoints = np.frombuffer(shard, "<u8", blocks, 40 + 12 * docs)
-    words = np.frombuffer(shard, ">u8", count, 40 + 12 * docs + 8 * blocks)
-    return doc_ids, sizes, decode(words, checkpoints, n, table)
+def pack_lengths(lengths: np.ndarray) -> bytes:
+    """A dictionary file."""
+    body = struct.pack("<8sQ", DICTIONARY, len(lengths)) + lengths.astype(np.uint8).tobytes()
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+def unpack_lengths(dictionary: bytes) -> np.ndarray:
+    """The code lengths of a dictionary file; a damaged one is an error."""
+    if len(dictionary) < 20 or zlib.crc32(dictionary[:-4]) != struct.unpack("<I", dictionary[-4:])[0]:
+        raise ValueError("not a whole dictionary")
+    magic, n = struct.unpack_from("<8sQ", dictionary)
+    if magic != DICTIONARY or len(dictionary) != 20 + n:
+        raise ValueError("not a dictionary")
+    return np.frombuffer(dictionary, np.uint8, n, 16)
+
+
+def pack(doc_ids: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray, dictionary: bytes, codes: np.ndarray | None = None) -> bytes:
+    """A shard file of documents whose ids stand one after the other, coded by a dictionary file."""
+    lengths = unpack_lengths(dictionary)
+    words, checkpoints = encode(ids, lengths, canonical_codes(lengths) if codes is None else codes)
+    head = struct.pack(HEAD, MAGIC, hashlib.sha256(dictionary).digest(), len(doc_ids), len(ids), len(checkpoints), len(words))
+    body = b"".join([head, doc_ids.astype("<i8").tobytes(), n_tokens.astype("<u4").tobytes(), checkpoints.astype("<u8").tobytes(), words.tobytes()])
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+class Decoder:
+    """Decodes shards by the dictionary file that they were written with."""
+
+    def __init__(self, dictionary: bytes):
+        lengths = unpack_lengths(dictionary)
+        self.digest, self.table = hashlib.sha256(dictionary).digest(), decode_table(lengths, canonical_codes(lengths))
+
+    def unpack(self, shard: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc_ids, tokens of each, all ids) of a shard; a damaged one or one of another dictionary is an error."""
+        if len(shard) < HEAD_SIZE + 4 or zlib.crc32(memoryview(shard)[:-4]) != struct.unpack("<I", shard[-4:])[0]:
+            raise ValueError("not a whole token shard")
+        magic, digest, docs, n, blocks, count = struct.unpack_from(HEAD, shard)
+        if magic != MAGIC or len(shard) != HEAD_SIZE + 12 * docs + 8 * (blocks + count) + 4:
+            raise ValueError("not a token shard")
+        if digest != self.digest:
+            raise ValueError("the shard was written with another dictionary")
+        doc_ids = np.frombuffer(shard, "<i8", docs, HEAD_SIZE)
+        sizes = np.frombuffer(shard, "<u4", docs, HEAD_SIZE + 8 * docs)
+        checkpoints = np.frombuffer(shard, "<u8", blocks, HEAD_SIZE + 12 * docs)
+        words = np.frombuffer(shard, ">u8", count, HEAD_SIZE + 12 * docs + 8 * blocks)
+        return doc_ids, sizes, decode(words, checkpoints, n, self.table)

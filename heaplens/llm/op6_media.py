@@ -12,7 +12,8 @@ task attempt; only those that a successful task reports are in the manifest, so
 tasks leave no wrong members.
 
 Edge cases: null texts count as empty, which is one row of spaces; repeated rows and null or repeated
-doc_ids are members like others; further columns are ignored; an empty table gives an empty result.
+doc_ids (ties) are members like others, in no order; a very long text is one member, which its task holds
+whole; further columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from heaplens.llm.common import Scratch
+from heaplens.llm.common import Scratch, filesystem
 
 #: Samples in a row of an image.
 WIDTH = 192
 #: Bytes of members in an archive, of a planned range, and of an Arrow batch.
-ARCHIVE, RANGE, BATCH = 64 << 20, 16 << 20, 4 << 20
+ARCHIVE, RANGE, BATCH = 256 << 20, 16 << 20, 4 << 20
+#: Partitions that are planned at most: beyond that many ranges, a partition has more bytes or several archives.
+PLANNED = 20_000
 #: Times that a member is read again.
 RETRIES = 3
 MEMBER, FOOTER = "<4sII", "<4sQQ"
@@ -108,17 +111,11 @@ def feature(payload: bytes) -> str:
     return f"mean={total / n:.6f};var={(square - total * total / n) / n:.6f};hist={'/'.join(map(str, bins))};blocks={code:016x}"
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "hdfs:")) else f"file://{uri}")
-
-
 def write_archives(docs: DataFrame, folder: str) -> DataFrame:
     """path, members, size, directory of each archive written below the folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _filesystem(folder)
+        system, base = filesystem(folder)
         system.create_dir(base, recursive=True)
         out, entries, path, size = None, [], "", 0
 
@@ -148,40 +145,59 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "path string, members long, size long, directory long")
 
 
-class Range(InputPartition):
-    """Members of an archive that begin at offsets from low to high."""
+class Ranges(InputPartition):
+    """Members of archives that begin at offsets from low to high: (path, directory, low, high) of each archive."""
+
+    def __init__(self, pieces: list[tuple[str, int, int, int]]):
+        self.pieces = pieces
+
 
-    def __init__(self, path: str, directory: int, low: int, high: int):
-        self.path, self.directory, self.low, self.high = path, directory, low, high
+def planned(archives: list[tuple[str, int]], size: int, most: int) -> list[Ranges]:
+    """The archives' bytes in order, cut into partitions of about equal volume."""
+    size = max(size, -(-sum(directory for _, directory in archives) // most))
+    out, pieces, room = [], [], size
+    for path, directory in archives:
+        low = 0
+        while low < directory:
+            high = min(directory, low + room)
+            pieces.append((path, directory, low, high))
+            room -= high - low
+            low = high
+            if room == 0:
+                out.append(Ranges(pieces))
+                pieces, room = [], size
+    return [*out, Ranges(pieces)] if pieces else out
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.manifest = options["folder"], options["manifest"]
-        self.range = int(options.get("range", RANGE))
+        self.range, self.planned = int(options.get("range", RANGE)), int(options.get("planned", PLANNED))
 
-    def partitions(self) -> list[Range]:
-        system, base = _filesystem(self.folder)
+    def partitions(self) -> list[Ranges]:
+        system, base = filesystem(self.folder)
         with system.open_input_stream(f"{base}/{self.manifest}") as f:
-            archives = json.loads(f.read())
-        return [Range(path, directory, low, min(directory, low + self.range)) for path, directory in archives for low in range(0, directory, self.range)]
-
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no archives
-            return
-        system, _ = _filesystem(self.folder)
-        end = system.get_file_info(partition.path).size
-        with system.open_input_file(partition.path) as f:
-            magic, directory, count = struct.unpack(FOOTER, f.read_at(FOOTER_SIZE, end - FOOTER_SIZE))
-            if magic != b"MDIR" or directory != partition.directory or end != directory + count * ENTRY.itemsize + FOOTER_SIZE:
-                raise ValueError(f"{partition.path}: not a whole archive")
+            archives = json.loads(f.read())  # about 100 bytes for each ARCHIVE bytes
+        return planned(archives, self.range, self.planned)
+
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        system, _ = filesystem(self.folder)
+        for path, directory, low, high in partition.pieces if partition else ():  # None without archives
+            yield from self._piece(system, path, directory, low, high)
+
+    def _piece(self, system, path: str, directory: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        end = system.get_file_info(path).size
+        with system.open_input_file(path) as f:
+            magic, at, count = struct.unpack(FOOTER, f.read_at(FOOTER_SIZE, end - FOOTER_SIZE))
+            if magic != b"MDIR" or at != directory or end != directory + count * ENTRY.itemsize + FOOTER_SIZE:
+                raise ValueError(f"{path}: not a whole archive")
             table = np.frombuffer(f.read_at(count * ENTRY.itemsize, directory), ENTRY)
-        mine = table[(table["offset"] >= partition.low) & (table["offset"] < partition.high)]
+        mine = table[(table["offset"] >= low) & (table["offset"] < high)]
         at = 0
         while at < len(mine):
             # As many members as fit into a batch, and one at least.
             upto = max(at + 1, int(np.searchsorted(mine["offset"] + mine["length"], mine["offset"][at] + BATCH, side="right")))
-            yield self._batch(system, partition.path, mine[at:upto])
+            yield self._batch(system, path, mine[at:upto])
             at = upto
 
     def _batch(self, system, path: str, entries: np.ndarray) -> pa.RecordBatch:
@@ -241,7 +257,7 @@ def media_column(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "media")
     folder = f"{scratch.base}/archives"
     archives = scratch.table(write_archives(docs, folder), "manifest")
-    system, base = _filesystem(folder)
+    system, base = filesystem(folder)
     system.create_dir(base, recursive=True)
     listed = [(r.path, r.directory) for r in archives.orderBy("path").toLocalIterator()]  # one for each ARCHIVE bytes
     with system.open_output_stream(f"{base}/manifest.json") as f:

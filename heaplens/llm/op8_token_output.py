@@ -1,36 +1,40 @@
-"""Token-ID output: tokenise whole texts, Huffman-code the ids from global counts, read them back.
+"""Token-ID output: tokenise whole texts, Huffman-code the ids from global counts, read the files back.
 
 Jobs: tokenise (ids kept as 16- or 32-bit integers in a scratch table); count ids (partial counts per
-task, at most one row per id and task); deal by doc_id range and sort; pack shards of about
-``SHARD_TOKENS`` ids. A shard is one self-contained binary file image (see huffman.pack); shards are
-committed by Spark's writer, so a lost executor or a repeated task never leaves half a file.
+task, at most one row per id and task); deal by range of doc_id and sort; write shard files of about
+``SHARD_TOKENS`` ids. A folder of token files (see huffman) holds all that reading needs: the dictionary of
+code lengths, the shards, and ``manifest``, a Parquet table of the shards in their order. Every attempt of a
+task writes under names of its own, and Spark commits the manifest with those of the attempts that count, so
+lost executors and repeated tasks leave no wrong shard.
 
 Edge cases: null and empty texts have only the end id; rows whose doc_id is null come first and are
-written as documents with the id -2**63; repeated doc_ids keep one entry per row, in order of their ids;
-an empty table gives an empty result; further columns are ignored.
+written as documents with the id -2**63; repeated doc_ids and repeated rows keep one entry per row, in order
+of a hash of their ids (ties), and may be dealt to several tasks; very long texts are tokenised in one go and
+go whole into one shard, which they may make larger than others; an empty table gives an empty result; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heaplens.llm import huffman
-from heaplens.llm.common import Scratch, checkpoint, partitions
+from heaplens.llm.common import Scratch, filesystem, partitions
+from heaplens.llm.shingles import slices
 
 #: Ids in a shard, documents being kept whole.
 SHARD_TOKENS = 1 << 20
 #: Entries of the per-process cache from a word's bytes to its ids.
 CACHE_WORDS = 1_200_000
-#: Up to so many shard places (24 bytes each) go to the executors by broadcast, more by a shuffle.
-BROADCAST_SHARDS = 100_000
 NO_ID = -(1 << 63)
 #: ASCII characters that are neither letters, digits, white space nor control characters.
 MARKS = string.punctuation.encode()
@@ -134,10 +138,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         enc = encoder(path)
         end = np.array([end_id], enc.width).tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                ids = [x + end for x in enc.batch(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for first, texts in slices(b, 1):
+                ids = [x + end for x in enc.batch(texts)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -160,12 +163,23 @@ def id_counts(ids: DataFrame, size: int, width: str) -> np.ndarray:
     return counts
 
 
-def write_shards(ids: DataFrame, lengths: np.ndarray, width: str, scratch: Scratch, name: str = "shards") -> DataFrame:
-    """part, seq, n_tokens, shard: in order of (part, seq) the shards hold the documents by ascending doc_id."""
+#: Names in a folder of token files.
+CODES, MANIFEST = "codes.hltd", "manifest"
+SHARDS = "part int, seq long, n_docs long, n_tokens long, file string"
+
+
+def write_tokens(ids: DataFrame, lengths: np.ndarray, width: str, folder: str) -> None:
+    """A folder of token files of ids (doc_id, ids); in order of (part, seq) its shards ascend by doc_id."""
+    dictionary = huffman.pack_lengths(lengths)
+    system, base = filesystem(folder)
+    system.create_dir(base, recursive=True)
+    with system.open_output_stream(f"{base}/{CODES}") as f:
+        f.write(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        system, base = filesystem(folder)
         codes, part, seq = huffman.canonical_codes(lengths), TaskContext.get().partitionId(), 0
         held: list[tuple[int, bytes]] = []
         size = 0
@@ -174,37 +188,45 @@ def write_shards(ids: DataFrame, lengths: np.ndarray, width: str, scratch: Scrat
             nonlocal held, size, seq
             tokens = np.frombuffer(b"".join(x for _, x in held), width)
             each = np.array([len(x) // np.dtype(width).itemsize for _, x in held])
-            blob = huffman.pack(np.array([d for d, _ in held], np.int64), each, tokens, lengths, codes)
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "n_tokens": pa.array([len(tokens)], pa.int64()), "shard": pa.array([blob], pa.binary())})
+            name = f"{part:06d}-{seq:06d}-{uuid.uuid4().hex}.hltk"
+            with system.open_output_stream(f"{base}/{name}") as f:
+                f.write(huffman.pack(np.array([d for d, _ in held], np.int64), each, tokens, dictionary, codes))
+            row = {"part": pa.array([part], pa.int32()), "seq": pa.array([seq]), "n_docs": pa.array([len(held)]), "n_tokens": pa.array([len(tokens)]), "file": pa.array([name])}
             held, size, seq = [], 0, seq + 1
-            return out
+            return pa.RecordBatch.from_pydict(row)
 
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.append((d, x))
-                size += len(x) // np.dtype(width).itemsize
+            for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.append((d, x.as_py()))
+                size += len(held[-1][1]) // np.dtype(width).itemsize
                 if size >= SHARD_TOKENS:
                     yield flush()
         if held:
             yield flush()
 
-    ordered = ids.repartitionByRange(partitions(ids.sparkSession), "doc_id").sortWithinPartitions("doc_id", "ids")
-    return scratch.table(ordered.mapInArrow(run, "part int, seq long, n_tokens long, shard binary"), name, codec="none")
+    # The hash splits a doc_id that many rows have; null doc_ids are one such.
+    dealt = ids.withColumn("hash", F.xxhash64("ids")).repartitionByRange(partitions(ids.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "ids")
+    dealt.select("doc_id", "ids").mapInArrow(run, SHARDS).write.parquet(f"{folder}/{MANIFEST}")
 
 
-def read_shards(shards: DataFrame, lengths: np.ndarray, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and the ids) of each document, decoded from the shards."""
-    sizes = shards.select("part", "seq", "n_tokens")
+def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and the ids) of each document of a folder of token files."""
+    shards = spark.read.schema(SHARDS).parquet(f"{folder}/{MANIFEST}")
     # Sums in two levels: shards within a part, and one row per part.
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    base = sizes.withColumn("within", within).join(parts, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
+    placed = shards.withColumn("within", within).join(parts, "part").select((F.col("before") + F.col("within")).alias("base"), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = huffman.decode_table(lengths, huffman.canonical_codes(lengths))
+        system, path = filesystem(folder)
+        decoder = None
         for b in batches:
-            for base, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                doc_ids, each, tokens = huffman.unpack(blob.as_py(), table)
+            for base, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if decoder is None:
+                    with system.open_input_stream(f"{path}/{CODES}") as f:
+                        decoder = huffman.Decoder(f.read())
+                with system.open_input_stream(f"{path}/{name}") as f:
+                    doc_ids, each, tokens = decoder.unpack(f.read())
                 raw = memoryview(tokens.astype("<u4").tobytes())
                 ends = np.cumsum(each, dtype=np.int64)
                 starts = ends - each
@@ -219,19 +241,21 @@ def read_shards(shards: DataFrame, lengths: np.ndarray, with_ids: bool = False)
                 yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    base = checkpoint(base)
-    base = F.broadcast(base) if base.count() <= BROADCAST_SHARDS else base
-    return shards.select("part", "seq", "shard").join(base, ["part", "seq"]).select("base", "shard").mapInArrow(run, schema)
+    return placed.repartition(partitions(spark)).mapInArrow(run, schema)
 
 
-def token_output(docs: DataFrame, path: str, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Write the documents' ids and read them back. path: a tokenizers JSON file that executors can open."""
+def token_output(docs: DataFrame, path: str, end_id: int = 1, with_ids: bool = False, folder: str | None = None) -> DataFrame:
+    """Write the documents' ids and read them back. path: a tokenizers JSON file that executors can open.
+
+    folder: where the token files go, below which nothing may be; by default a scratch folder.
+    """
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(path).get_vocab_size()
     width, scratch = "<u2" if size <= 1 << 16 else "<u4", Scratch(docs.sparkSession, "tokens")
+    folder = folder or f"{scratch.base}/files"
     ids = scratch.table(tokenised(docs, path, end_id), "ids")
     lengths = huffman.code_lengths(id_counts(ids, max(size, end_id + 1), width))
-    shards = write_shards(ids, lengths, width, scratch)
+    write_tokens(ids, lengths, width, folder)
     scratch.drop("ids")
-    return read_shards(shards, lengths, with_ids)
+    return read_tokens(docs.sparkSession, folder, with_ids)

@@ -82,15 +82,15 @@ def test_members_are_read_again_by_offset(spark, monkeypatch, tmp_path):
     df = spark.createDataFrame([(i, f"text {i} " * 60) for i in range(9)], "doc_id long, text string").coalesce(1)
     found = op.write_archives(df, str(tmp_path)).collect()
     (tmp_path / "m.json").write_text(json.dumps([(r.path, r.directory) for r in found]))
-    inner, base = op._filesystem(str(tmp_path))
+    inner, base = op.filesystem(str(tmp_path))
     raw = open(found[0].path, "rb").read()
     table = np.frombuffer(raw[found[0].directory : -op.FOOTER_SIZE], op.ENTRY)
     for fail, works in ((2, True), (op.RETRIES, False)):
         system = Flaky(inner, int(table["offset"][4]), fail)
         system.single, system.directory = {(int(o), int(n)) for o, n in zip(table["offset"], table["length"])}, found[0].directory
-        monkeypatch.setattr(op, "_filesystem", lambda uri, s=system: (s, base))
+        monkeypatch.setattr(op, "filesystem", lambda uri, s=system: (s, base))
         reader = op.ArchiveReader({"folder": str(tmp_path), "manifest": "m.json"})
-        part = op.Range(found[0].path, found[0].directory, 0, found[0].directory)
+        part = op.Ranges([(found[0].path, found[0].directory, 0, found[0].directory)])
         if works:
             rows = [d for b in reader.read(part) for d in zip(*(c.to_pylist() for c in b.columns))]
             assert [d for d, _ in rows] == list(range(9)) and op.from_png(rows[4][1])[1].startswith(b"text 4 ")
@@ -98,3 +98,15 @@ def test_members_are_read_again_by_offset(spark, monkeypatch, tmp_path):
         else:
             with pytest.raises(OSError, match="cannot be read"):
                 list(reader.read(part))
+
+
+def test_ranges_cover_every_byte_once_in_a_bounded_number():
+    archives = [("a", 100), ("b", 7), ("c", 1000), ("d", 0), ("e", 50)]
+    for size, most in ((30, 1000), (1, 9), (10_000, 5)):
+        parts = op.planned(archives, size, most)
+        pieces = sorted(p for r in parts for p in r.pieces)
+        for path, directory in archives:
+            mine = [(low, high) for p, _, low, high in pieces if p == path]
+            assert [x for low, high in mine for x in range(low, high)] == list(range(directory))
+        assert len(parts) <= max(most, -(-1157 // size)) and len(parts) <= -(-1157 // size)
+    assert len(op.planned(archives, 1, 9)) <= 9 and op.planned([], 1, 9) == []

@@ -1,4 +1,8 @@
+import json
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,10 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from heaplens.llm import huffman
-from heaplens.llm.op8_token_output import WordEncoder, token_output
+from heaplens.llm.op8_token_output import WordEncoder, read_tokens, token_output
 from heaplens.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
+ROOT = Path(__file__).resolve().parents[2]
 
 
 @given(st.lists(st.integers(0, 300), max_size=700), st.integers(9, 20))
@@ -20,11 +25,15 @@ def test_codes_are_prefix_free_bounded_and_round_trip(ids, limit):
     codes = huffman.canonical_codes(lengths)
     assert lengths.max(initial=0) <= limit
     assert sum(2.0 ** -int(x) for x in lengths if x) <= 1
-    blob = huffman.pack(np.array([5]), np.array([len(ids)]), ids, lengths, codes)
-    table = huffman.decode_table(lengths, codes)
-    assert huffman.unpack(blob, table)[2].tolist() == ids.tolist()
+    dictionary = huffman.pack_lengths(lengths)
+    blob, decoder = huffman.pack(np.array([5]), np.array([len(ids)]), ids, dictionary, codes), huffman.Decoder(dictionary)
+    assert decoder.unpack(blob)[2].tolist() == ids.tolist()
+    other = huffman.Decoder(huffman.pack_lengths(np.array([1, 1], np.uint8)))
+    for damaged, by in ((blob[:-1], decoder), (blob[:9] + bytes([blob[9] ^ 1]) + blob[10:], decoder), (blob, other)):
+        with pytest.raises(ValueError):
+            by.unpack(damaged)
     with pytest.raises(ValueError):
-        huffman.unpack(blob[:-1], table)
+        huffman.Decoder(dictionary[:-1])
 
 
 def test_lengths_are_optimal_without_a_binding_limit():
@@ -63,3 +72,31 @@ def test_output(spark):
         start += r.n_tokens
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, 2, 2, 3, 3, 4, 9]
     assert token_output(df.limit(0), PATH).count() == 0
+
+
+FRESH = """
+import json, sys
+import pyarrow.parquet as pq
+from heaplens.llm.huffman import Decoder
+folder = sys.argv[1]
+decoder = Decoder(open(folder + "/codes.hltd", "rb").read())
+for row in sorted(pq.read_table(folder + "/manifest").to_pylist(), key=lambda r: (r["part"], r["seq"])):
+    docs, sizes, ids = decoder.unpack(open(folder + "/" + row["file"], "rb").read())
+    at = 0
+    for d, n in zip(docs.tolist(), sizes.tolist()):
+        print(json.dumps([d, ids[at : at + n].tolist()]))
+        at += n
+"""
+
+
+def test_a_fresh_process_decodes_the_files(spark, tmp_path):
+    rows = [(d, f"word{d} some more words, and {d * 7} of them") for d in range(200)] + [(5, "again")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_output(df, PATH, folder=str(tmp_path / "files"))
+    done = subprocess.run([sys.executable, "-c", FRESH, str(tmp_path / "files")], cwd=ROOT, capture_output=True, text=True, check=True, timeout=120)
+    got = [json.loads(x) for x in done.stdout.splitlines()]
+    lib = WordEncoder(PATH).lib
+    assert sorted(got) == sorted([d, lib.encode(t, add_special_tokens=False).ids + [1]] for d, t in rows)
+    assert [d for d, _ in got] == sorted(d for d, _ in rows)
+    again = read_tokens(spark, str(tmp_path / "files"), with_ids=True).orderBy("start").collect()
+    assert [[r.doc_id, r.ids] for r in again] == got
