@@ -1,16 +1,19 @@
 """Multilingual mixture inference: language proportions of each document by expectation-maximisation.
 
 A model per language gives smoothed probabilities of hashed letter trigrams (any non-letter counts as a
-space). It is trained on a bounded sample: about ``TRAIN_DOCS`` documents of each of the ``MAX_LANGS`` most
-frequent labels, chosen by hash, whole texts, none of them held out. A document is a row of units of
-``UNIT`` letters; each unit has a likelihood under each language. EM estimates the document's language
-proportions; starting from the ``MAX_SET`` likeliest languages, the weakest one is removed again and again,
-and the set with the best likelihood less a penalty per language stays.
+space). It is trained on a bounded sample: about ``TRAIN_DOCS`` documents of each label, chosen by hash,
+whole texts, none of them held out. A document is a row of units of ``UNIT`` letters, of more in a text with
+over ``UNITS`` of them; each unit has a likelihood under each language. EM estimates the document's language
+proportions. Starting from all languages that are the likeliest one of some unit, the weakest one is removed
+again and again, and the set with the best likelihood less a penalty per language stays.
+
+The models are sent to every executor, so more than ``max_langs`` labels are an error, not a silent loss.
 
 Edge cases: a null text or one without letters is `und` with score 0, and so is every text if no label was
 there to learn from; ties go to the label that sorts first; texts of unknown scripts get some learned label
-with a low score; null or repeated doc_ids are rows like others (a null one is not held out); further
-columns are ignored; an empty table gives an empty result.
+with a low score; null or repeated doc_ids and repeated rows are rows like others (a null one is not held
+out); very long texts are taken whole, in larger units; further columns, whatever their names, are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +31,12 @@ from heaplens.llm.shingles import slices
 
 #: Documents of each language that the model learns from (expected number; the sample is by hash).
 TRAIN_DOCS = 1500
-#: Languages that the model can tell apart.
-MAX_LANGS = 200
+#: Labels that a model may have by default (a quarter of a megabyte each, on every executor).
+MAX_LANGS = 400
 #: Hash buckets of trigrams.
 BUCKETS = 1 << 16
-#: Letters in a unit.
-UNIT = 24
-#: Languages with which the search for a document's set begins.
-MAX_SET = 8
+#: Letters in a unit, and units of a text.
+UNIT, UNITS = 24, 1 << 16
 #: EM steps for each set.
 STEPS = 12
 #: Log-likelihood that a further language has to bring, beside half the logarithm of the number of units.
@@ -79,10 +80,12 @@ class Model:
         self.langs, self.logp = langs, logp
 
 
-def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> Model:
-    """Learn from text and lang of documents that are not held out."""
+def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, max_langs: int = MAX_LANGS) -> Model:
+    """Learn from text and lang of documents that are not held out; more labels than max_langs are an error."""
     labelled = docs.where(F.coalesce(~held_out(), F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} labels in lang; raise max_langs if that is what they are")
     if not counts:
         return Model([], np.zeros((0, BUCKETS), np.float32))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])[F.col("lang")]
@@ -129,32 +132,32 @@ def mixtures(model: Model, texts: list[str | None]) -> list[list[tuple[str, floa
     if len(known) == 0 or not model.langs:
         return out
     n = sizes[known]
-    units = -(-n // UNIT)
+    letters = np.maximum(UNIT, -(-n // UNITS))
+    units = -(-n // letters)
     starts = np.cumsum(units) - units
     doc = np.repeat(np.arange(len(known)), units)
     within = np.arange(units.sum()) - starts[doc]
-    first = (np.cumsum(n) - n)[doc] + within * UNIT
+    first = (np.cumsum(n) - n)[doc] + within * letters[doc]
     score = np.stack([np.add.reduceat(row[buckets], first) for row in model.logp], 1).astype(np.float64) * TEMPER
     lik = np.maximum(np.exp(score - score.max(1, keepdims=True)), 1e-30)
 
-    k = min(MAX_SET, len(model.langs))
     active = np.zeros((len(known), len(model.langs)))
-    mass = np.add.reduceat(lik / lik.sum(1, keepdims=True), starts, 0)
-    np.put_along_axis(active, np.argsort(-mass, 1, kind="stable")[:, :k], 1.0, 1)
+    active[doc, lik.argmax(1)] = 1
     cost = PENALTY + 0.5 * np.log(units)
-    best_share, best = None, None
-    for size in range(k, 0, -1):
+    best_share, best = np.zeros(active.shape), np.full(len(known), -np.inf)
+    while True:
         share, ll = _em(lik, doc, starts, units, active)
+        size = active.sum(1)
         value = ll - cost * (size - 1)
-        if best is None:
-            best_share, best = share, value
-        else:
-            better = value >= best
-            best_share[better], best[better] = share[better], value[better]
-        weakest = np.where(active > 0, share, np.inf)
+        better = value >= best
+        best_share[better], best[better] = share[better], value[better]
+        more = np.flatnonzero(size > 1)
+        if len(more) == 0:
+            break
+        weakest = np.where(active > 0, share, np.inf)[more]
         # Of equal proportions the label that sorts last goes.
         last = active.shape[1] - 1 - np.argmin(weakest[:, ::-1], 1)
-        active[np.arange(len(known)), last] = 0
+        active[more, last] = 0
     for i, row in zip(known.tolist(), best_share, strict=True):
         order = np.argsort(-row, kind="stable")
         out[i] = [(model.langs[j], float(row[j])) for j in order if row[j] > 1e-6]

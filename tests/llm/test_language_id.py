@@ -1,7 +1,10 @@
+import math
+import random
 import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from heaplens.llm import op1_language_id as op
 from heaplens.llm.common import read
@@ -55,3 +58,55 @@ def test_edges(spark):
     assert got == sorted([(1, "und"), (None, "xx"), (2, "und"), (3, "und"), (4, "xx"), (4, "xx")], key=str)
     assert op.language_id(df.limit(0)).count() == 0
     assert {r.lang_pred for r in op.language_id(df.where("lang is null")).collect()} == {"und"}
+
+
+def brute(model, text):
+    """The same choice for one text, in plain loops over its units."""
+    buckets, _ = op.trigrams([text])
+    step = max(op.UNIT, -(-len(buckets) // op.UNITS))
+    units = [buckets[i : i + step] for i in range(0, len(buckets), step)]
+    if not units:
+        return []
+    lik = []
+    for u in units:
+        score = [op.TEMPER * sum(float(row[b]) for b in u) for row in model.logp]
+        lik.append([max(math.exp(x - max(score)), 1e-30) for x in score])
+    live = sorted({x.index(max(x)) for x in lik})
+    best, chosen = -math.inf, None
+    while live:
+        share = {k: 1 / len(live) for k in live}
+        for _ in range(op.STEPS):
+            sums = dict.fromkeys(live, 0.0)
+            for x in lik:
+                whole = sum(x[k] * share[k] for k in live)
+                for k in live:
+                    sums[k] += x[k] * share[k] / whole
+            share = {k: v / len(lik) for k, v in sums.items()}
+        value = sum(math.log(sum(x[k] * share[k] for k in live)) for x in lik) - (op.PENALTY + 0.5 * math.log(len(lik))) * (len(live) - 1)
+        if value >= best:
+            best, chosen = value, share
+        live.remove(min(reversed(live), key=lambda k: share[k]))
+    return sorted(((model.langs[k], v) for k, v in chosen.items() if v > 1e-6), key=lambda x: (-x[1], x[0]))
+
+
+def test_against_brute_force(spark, monkeypatch):
+    rng = random.Random(2)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop"[k : k + 9]) for _ in range(rng.randint(2, 8))) for _ in range(60)] for k in range(6)}
+    rows = [(i, f"l{i % 6}", " ".join(rng.choice(words[f"l{i % 6}"]) for _ in range(80))) for i in range(120)]
+    model = op.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    texts = ["", "12"]
+    for _ in range(40):
+        parts = [" ".join(rng.choice(words[x]) for _ in range(rng.choice([3, 20, 60]))) for x in rng.choices(sorted(words), k=rng.choice([1, 1, 2, 4]))]
+        texts.append(" ".join(parts))
+    for units in (op.UNITS, 5):
+        monkeypatch.setattr(op, "UNITS", units)
+        for text, got in zip(texts, op.mixtures(model, texts), strict=True):
+            want = brute(model, text)
+            assert [k for k, _ in got] == [k for k, _ in want]
+            assert all(abs(a - b) < 1e-6 for (_, a), (_, b) in zip(got, want, strict=True))
+    assert sum(len(m) > 1 for m in op.mixtures(model, texts)) > 3
+
+
+def test_too_many_labels_are_an_error(spark):
+    with pytest.raises(ValueError, match="max_langs"):
+        op.train(toy(spark), max_langs=2)
