@@ -19,8 +19,8 @@ split hot cells.
 
 Edge cases: a null source, language or topic is a level of its own; texts without words have 0 tokens and
 their cell's probability, 0 if the whole cell has none; rows equal in doc_id and text are drawn alike; null
-doc_ids are drawn by their text; further columns, whatever their names, are kept; an empty table gives an
-empty result. Levels that are only in the targets, or only in the data, are left out of the fit.
+doc_ids are drawn by their text; a draw equal to the probability (a tie) is not taken; very long texts count by
+their words like others; further columns, whatever their names, are kept; an empty table gives an empty result. Levels that are only in the targets, or only in the data, are left out of the fit.
 """
 
 from __future__ import annotations
@@ -151,7 +151,8 @@ def bounded(raw: np.ndarray, levels: list[np.ndarray], targets: list[np.ndarray]
             free = np.maximum(now - held, 1e-300)
             up = np.where(goal >= have * (1 - CLOSE), WHOLE, (goal - held) / free)
             factor = np.where(now - held <= 0, np.minimum(1, goal / now), np.where(goal > now, up, goal / now))
-            p = np.minimum(WHOLE, p * factor[at])
+            with np.errstate(over="ignore"):
+                p = np.minimum(WHOLE, p * factor[at])
         if worst < CLOSE:
             break
     return np.minimum(1, constant(raw, p, keep) * p)
