@@ -9,6 +9,15 @@ nbest           the N best segmentations of each text; the last stage returns th
 
 Every stage but the last returns the columns of documents. Each stage's result is written as Parquet and
 read again before the next one.
+
+Edge cases: null and empty texts and those without letters have no language and go in the first stage; given
+to a later one, they stay as they are, alone in their group, and are drawn by the probability of their cell.
+A null doc_id is never a near duplicate and stays; a null lang is found, a null source is a source of its own,
+a null n_chars stays null unless the text is cut. Repeated rows and repeated doc_ids are one document: what
+happens to one of the rows happens to all of equal text, and the near-duplicate stage keeps all rows of the
+doc_id that stands for a group (of equally good ones, ties, the least). Very long texts go through whole.
+Further columns, whatever their names, are left out of every stage's result; an empty table gives an empty
+result of the same columns.
 """
 
 from __future__ import annotations
