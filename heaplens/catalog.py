@@ -21,7 +21,7 @@ STAR = {
         case when l_linenumber % 5 = 4 then 'managed_object' else 'native_object' end to_kind, l_orderkey % 2000 to_index,
         case when l_linenumber % 4 = 3 then 'managed_reference' when l_linenumber % 5 = 4 then 'native_gc_handle_bridge' else 'native_connection' end connection_type from {lineitem}""",
     "native_roots": """select cast(s_suppkey as int) root_index, s_suppkey root_id,
-        case when s_suppkey % 5 = 0 then 'SerializedFile' when s_suppkey % 7 = 0 then 'PersistentManager' else n_name end area_name,
+        case when s_suppkey % 5 = 0 then 'SerializedFile' when s_suppkey % 7 = 0 then 'PersistentManager' when s_suppkey % 11 = 0 then 'PersistentManager.Remapper' else n_name end area_name,
         case when s_suppkey % 7 = 0 then 'Remapper' else s_name end object_name, cast(floor(abs(s_acctbal) * 100) as bigint) accumulated_size_bytes,
         cast(floor(abs(s_acctbal) * 50) as bigint) resident_size_bytes from {supplier} join {nation} on s_nationkey = n_nationkey""",
     "memory_regions": """select n_nationkey region_index, cast(n_nationkey as bigint) * 1000000 address_base,

@@ -29,13 +29,13 @@ def golden_serialized(t: Snapshot) -> DataFrame:
     return _sums(t.native_roots.where(F.contains(F.lower(F.coalesce("area_name", F.lit(""))), F.lit("serializedfile"))), "accumulated_size_bytes")
 
 
-def remapper_rows(t: Snapshot) -> DataFrame:
+def remapper_rows(native_roots: DataFrame) -> DataFrame:
     both = F.concat(F.coalesce("area_name", F.lit("")), F.lit(":"), F.coalesce("object_name", F.lit("")))
-    return t.native_roots.where(F.col("object_name").like("%Remapper%") | both.like("%PersistentManager%Remapper%"))
+    return native_roots.where(F.col("object_name").like("%Remapper%") | both.like("%PersistentManager%Remapper%"))
 
 
 def golden_remapper(t: Snapshot) -> DataFrame:
-    return _sums(remapper_rows(t), "accumulated_size_bytes", "area_name", "object_name")
+    return _sums(remapper_rows(t.native_roots), "accumulated_size_bytes", "area_name", "object_name")
 
 
 def within(a: int, b: int, tolerance: tuple[int, float]) -> bool:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names of captures: prefix, date, time, then words of context.
-SESSION = r"^(.*?)_?(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})_?(.*)$"
+from heaplens.plans.golden import remapper_rows
+
+#: Fixed value: the names of captures: prefix, date, time, and words of context if there are any.
+NAME = r"^(.+?)_(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})(?:_(.+))?$"
 #: The columns of the pivot, as group/category.
 PIVOT = (
     ("Totals", "Total"), ("AllocatedMemoryDistribution", "Native"), ("AllocatedMemoryDistribution", "Managed"), ("AllocatedMemoryDistribution", "Executables & Mapped"),
@@ -31,11 +33,10 @@ def null_aware_sum(c: str) -> Column:
 
 def tracked(native_objects: DataFrame, native_roots: DataFrame) -> DataFrame:
     """snapshot_id, tracked, obj_count, allocated_bytes, resident_bytes of bundles, serialized files and remappers."""
-    name = F.coalesce("object_name", F.lit(""))
     parts = [
         (native_objects.where("native_type_name = 'AssetBundle' and not is_destroyed"), "AssetBundle", "size_bytes"),
         (native_roots.where(F.contains(F.lower(F.coalesce("area_name", F.lit(""))), F.lit("serializedfile"))), "SerializedFile", "accumulated_size_bytes"),
-        (native_roots.where(F.contains(name, F.lit("Remapper"))), "Remapper", "accumulated_size_bytes"),
+        (remapper_rows(native_roots), "Remapper", "accumulated_size_bytes"),
     ]
     out = None
     for df, what, size in parts:
@@ -46,22 +47,76 @@ def tracked(native_objects: DataFrame, native_roots: DataFrame) -> DataFrame:
     return out.select("snapshot_id", "tracked", "obj_count", "allocated_bytes", "resident_bytes")
 
 
+def _part(name: Column, k: int) -> Column:
+    """A part of a capture's name, trimmed; null where the name has none."""
+    return F.when(name.rlike(NAME), F.nullif(F.trim(F.regexp_extract(name, NAME, k)), F.lit("")))
+
+
+def version_key(engine: Column, snap_format: Column) -> Column:
+    """The engine's version, or the format's as `format:17`; empty where neither is known."""
+    known = (F.trim(F.coalesce(engine, F.lit(""))) != "") & ~F.lower(engine).startswith("format:")
+    return F.when(known, engine).when(snap_format > 0, F.concat(F.lit("format:"), snap_format.cast("string"))).otherwise("")
+
+
+def version_label(version: Column) -> Column:
+    """A version for readers, null if it is empty."""
+    number = F.trim(F.substr(version, F.lit(8)))
+    named = F.when(number != "", F.concat(F.lit("Snap format "), number))
+    return F.when(F.lower(version).startswith("format:"), named).otherwise(F.nullif(F.trim(version), F.lit("")))
+
+
 def session_key(name: Column, version: Column) -> Column:
-    """What captures of one session share: prefix, date, time, context and engine or format version."""
-    part = lambda k: F.regexp_extract(name, SESSION, k)
-    return F.when(name.rlike(SESSION), F.concat_ws("|", part(1), part(2), part(3), part(4), version)).otherwise(F.concat_ws("|", name, version))
+    """What captures of one session share by their names: prefix, date, context and version.
+
+    Captures without a context share their time instead.
+    """
+    context = F.coalesce(_part(name, 4), _part(name, 3), F.lit("_general"))
+    return F.concat_ws("|", F.coalesce(_part(name, 1), name), _part(name, 2), context, F.coalesce(F.nullif(F.trim(version), F.lit("")), F.lit("unknown")))
+
+
+def enriched(info: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """snapshot_id, session_guid, product_name, platform, version, captured_at of each snapshot.
+
+    info and captures: snapshot_id, session_guid, product_name, platform, engine_version, snap_format_version,
+    record_date_utc, of stores and of the capture files beside them. What a store doesn't know comes from its
+    capture file, the time at last from the name. captured_at is null where no source tells it.
+    """
+    known = ("session_guid", "product_name", "platform", "engine_version", "snap_format_version", "record_date_utc")
+    if captures is None:
+        captures = info.limit(0)
+    both = info.select("snapshot_id", *known).join(captures.select("snapshot_id", *[F.col(c).alias(f"file_{c}") for c in known]), "snapshot_id", "left")
+    text = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    number = lambda c: F.coalesce(F.nullif(c, F.lit(0)), F.nullif(f"file_{c}", F.lit(0)), F.lit(0))
+    engine = F.coalesce(F.when(~F.lower("engine_version").startswith("format:"), text("engine_version")), text("file_engine_version"), F.col("engine_version"))
+    told = F.try_to_number(F.when(F.lower(engine).startswith("format:"), F.trim(F.substr(engine, F.lit(8)))), F.lit("999999999")).cast("long")
+    clock = F.try_to_timestamp(F.concat_ws(" ", _part(F.col("snapshot_id"), 2), F.replace(_part(F.col("snapshot_id"), 3), F.lit("-"), F.lit(":"))))
+    time = F.coalesce(F.try_to_timestamp("record_date_utc"), F.try_to_timestamp("file_record_date_utc"), clock)
+    return both.select(
+        "snapshot_id", number("session_guid").alias("session_guid"), *[F.coalesce(text(c), text(f"file_{c}")).alias(c) for c in ("product_name", "platform")],
+        version_key(engine, F.coalesce(F.nullif(number("snap_format_version"), F.lit(0)), told)).alias("version"), time.alias("captured_at"),
+    )
 
 
 def sessions(info: DataFrame) -> DataFrame:
-    """snapshot_id, session_no, session_key, representative. info: snapshot_id, session_guid, version, captured_at.
+    """snapshot_id, session_no, session_key, representative, title. info: the columns of enriched().
 
-    A non-zero GUID is the key, else the name's parts. Sessions are numbered by their earliest capture.
+    A non-zero GUID is the key, else the name's parts, in any case of letters. Sessions are numbered by their
+    earliest capture, those with one of unknown time first.
     """
     key = F.coalesce(F.when(F.col("session_guid") != 0, F.concat(F.lit("guid:"), F.col("session_guid").cast("string"))), session_key(F.col("snapshot_id"), F.col("version")))
     keyed = info.withColumn("session_key", F.lower(key))
-    groups = keyed.groupBy("session_key").agg(F.min("captured_at").alias("began"), F.min_by("snapshot_id", F.struct(F.col("captured_at").isNull(), "captured_at", "snapshot_id")).alias("representative"))
-    numbered = groups.withColumn("session_no", F.row_number().over(Window.orderBy(F.asc_nulls_last("began"), "session_key")))  # one row per session
-    return keyed.join(numbered, "session_key").select("snapshot_id", "session_no", "session_key", "representative")
+    first = F.struct(F.col("captured_at").isNotNull().alias("known"), "captured_at", F.lower("snapshot_id").alias("low"), "snapshot_id", "product_name", "platform", "version")
+    groups = keyed.groupBy("session_key").agg(F.min(first).alias("first"))
+    number = F.row_number().over(Window.orderBy(F.asc_nulls_first("first.captured_at"), "session_key"))  # one row per session
+    product = F.coalesce(F.trim("first.product_name"), _part(F.col("first.snapshot_id"), 1), F.col("first.snapshot_id"))
+    platform = F.nullif(platform_bucket(F.col("first.platform")), F.lit("Unknown"))
+    title = F.concat_ws(" · ", F.concat(F.lit("Session "), F.col("session_no").cast("string")), product, platform, version_label(F.col("first.version")))
+    numbered = groups.withColumn("session_no", number).select("session_key", "session_no", F.col("first.snapshot_id").alias("representative"), title.alias("title"))
+    return keyed.join(numbered, "session_key").select("snapshot_id", "session_no", "session_key", "representative", "title")
+
+
+def column_name(category: str) -> str:
+    return category.lower().replace(" & ", "_").replace(" ", "_").replace("(", "").replace(")", "")
 
 
 def pivoted(metrics: DataFrame) -> DataFrame:
@@ -69,7 +124,7 @@ def pivoted(metrics: DataFrame) -> DataFrame:
     cols = []
     for group, category in PIVOT:
         here = (F.col("metric_group") == group) & (F.col("category") == category)
-        name = category.lower().replace(" & ", "_").replace(" ", "_").replace("(", "").replace(")", "")
+        name = column_name(category)
         cols.append(F.max(F.when(here, F.col("committed_bytes"))).alias(f"{name}_committed"))
         cols.append(F.max(F.when(here & (F.col("resident_available") == 1), F.col("resident_bytes"))).alias(f"{name}_resident"))
     return metrics.groupBy("snapshot_id").agg(*cols)
@@ -87,12 +142,10 @@ def platform_bucket(platform: Column) -> Column:
     return F.when(low == "", "Unknown").when(low.contains("iphone") | low.contains("ios"), "iOS").when(low.contains("android"), "Android").otherwise("Other")
 
 
-def session_title(name: Column, platform: Column, version: Column) -> Column:
-    """What a session is called: product, time, platform, context and version, as far as they are known."""
-    part = lambda k: F.regexp_extract(name, SESSION, k)
-    clock = F.replace(part(3), F.lit("-"), F.lit(":"))
-    context = F.regexp_replace(F.initcap(F.regexp_replace(part(4), "[_-]+", " ")), "(?i)\\bios\\b", "iOS")
-    format_ = F.when(version.startswith("format:"), F.concat(F.lit("Snap format "), F.substring_index(version, ":", -1))).otherwise(version)
-    context = F.coalesce(F.nullif(context, F.lit("")), F.lit("General capture"))
-    known = F.when(platform_bucket(platform) != "Unknown", platform_bucket(platform))
-    return F.when(name.rlike(SESSION), F.concat_ws(" · ", F.nullif(part(1), F.lit("")), part(2), clock, known, context, format_)).otherwise(F.concat_ws(" · ", name, known, format_))
+def capture_title(name: Column, version: Column) -> Column:
+    """What a capture is called by its name: prefix, date, time unless a context tells it apart, context, version."""
+    clock = F.when(_part(name, 4).isNull(), F.replace(_part(name, 3), F.lit("-"), F.lit(":")))
+    words = F.filter(F.transform(F.split(_part(name, 4), "_"), F.trim), lambda w: w != "")
+    word = lambda w: F.when(F.lower(w) == "ios", "iOS").when(F.lower(w) == "android", "Android").otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
+    context = F.coalesce(F.array_join(F.transform(words, word), " "), F.lit("General capture"))
+    return F.concat_ws(" · ", F.coalesce(_part(name, 1), name), _part(name, 2), clock, context, version_label(version))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from heaplens.catalog import STAR, star_prefix
+from heaplens.plans.multi import PIVOT, column_name
 
 _R = lambda x, n: f"round(({x}) * 1e{n}) / 1e{n}"
 _MB = lambda x, n=2: _R(f"({x}) / 1048576e0", n)
@@ -142,7 +143,21 @@ SQL = {
     "multi_tracked": f"""select cast(snap as varchar) snapshot_id, 'AssetBundle' tracked, count(*) obj_count, {_SUM("size_bytes")} allocated_bytes, case when count(resident_size_bytes) = count(*) then {_SUM("resident_size_bytes")} end resident_bytes
         from (select *, native_object_index % 3 snap from native_objects) where native_type_name = 'AssetBundle' and not is_destroyed group by snap
         union all select cast(root_index % 3 as varchar), 'SerializedFile', count(*), {_SUM("accumulated_size_bytes")}, {_SUM("resident_size_bytes")} from native_roots where lower(area_name) like '%serializedfile%' group by root_index % 3
-        union all select cast(root_index % 3 as varchar), 'Remapper', count(*), {_SUM("accumulated_size_bytes")}, {_SUM("resident_size_bytes")} from native_roots where object_name like '%Remapper%' group by root_index % 3""",
+        union all select cast(root_index % 3 as varchar), 'Remapper', count(*), {_SUM("accumulated_size_bytes")}, {_SUM("resident_size_bytes")} from native_roots
+        where object_name like '%Remapper%' or coalesce(area_name, '') || ':' || coalesce(object_name, '') like '%PersistentManager%Remapper%' group by root_index % 3""",
+    "leak_ranking": f"""select top.*, d.downstream_mb, d.exclusive_mb, round_even(top.own_size_mb + d.exclusive_mb, 2) total_freed_mb from ({_LEAK_TOP}) top join ({_DOWN}) d on d.root = top.native_object_index""",
+    "multi_pivot": f"""select cast(snap as varchar) snapshot_id, {", ".join(f"max(committed) filter (place = {i}) {column_name(c)}_committed, max(resident) filter (place = {i} and available = 1) {column_name(c)}_resident" for i, (_, c) in enumerate(PIVOT))}
+        from (select region_index % 4 snap, (region_index // 4) % 11 place, max(address) committed, max(size_bytes) resident, case when (region_index // 4) % 11 in (4, 5) then 0 else 1 end available
+        from system_memory_regions where region_index % 4 < 3 or (region_index // 4) % 11 <> 2 group by 1, 2) group by snap""",
+    "session_groups": r"""with i as (select 'Game_2026-05-1' || (region_index % 10) || '_10-28-3' || (region_index % 6) || case when region_index % 3 = 0 then '' else '_level_' || region_index % 2 end || case when region_index % 7 = 0 then '#' || region_index else '' end id,
+            case when region_index % 4 = 0 then region_index % 8 + 1 else 0 end guid, 'format:' || cast(16 + region_index % 2 as varchar) ver, case when region_index % 5 <> 0 then address end recorded, region_index from system_memory_regions),
+        n as (select *, regexp_matches(id, '^.+?_\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}(_.+)?$') named, split_part(id, '_', 2) d, split_part(id, '_', 3) clock, nullif(array_to_string(list_slice(string_split(id, '_'), 4, 99), '_'), '') context from i),
+        k as (select *, case when recorded is not null then make_timestamp(recorded * 1000000) when named then strptime(d || ' ' || clock, '%Y-%m-%d %H-%M-%S') end at_,
+            lower(case when guid <> 0 then 'guid:' || guid when named then 'Game|' || d || '|' || coalesce(context, clock) || '|' || ver else id || '|_general|' || ver end) session_key from n),
+        g as (select session_key, case when count(at_) = count(*) then min(at_) end began, first(id order by at_ nulls first, lower(id), id) representative, first(ver order by at_ nulls first, lower(id), id) ver,
+            first(case when named then 'Game' else id end order by at_ nulls first, lower(id), id) product from k group by session_key),
+        o as (select *, row_number() over (order by began nulls first, session_key) session_no from g)
+        select k.id snapshot_id, cast(o.session_no as integer) session_no, session_key, o.representative, 'Session ' || o.session_no || ' · ' || o.product || ' · Snap format ' || replace(o.ver, 'format:', '') title from k join o using (session_key)""",
 }
 
 

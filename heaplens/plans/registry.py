@@ -57,14 +57,26 @@ def _multi_tracked(t: Snapshot) -> DataFrame:
 
 
 def _multi_pivot(t: Snapshot) -> DataFrame:
-    return multi.pivoted(multi.unioned({"MyGame_2026-01-01_10-00-00_menu": _summary(t)}))
+    """Four snapshots with metrics of their own, one of which lacks a category; the eleventh place is none."""
+    pairs = [(i, g, c) for i, (g, c) in enumerate(multi.PIVOT)]
+    names = t.spark.createDataFrame(pairs, "place int, metric_group string, category string")
+    r = t.system_memory_regions.select((F.col("region_index") % 4).alias("snap"), (F.floor(F.col("region_index") / 4) % 11).cast("int").alias("place"), "address", "size_bytes").where("snap < 3 or place <> 2")
+    sums = r.groupBy("snap", "place").agg(F.max("address").alias("committed_bytes"), F.max("size_bytes").alias("resident_bytes"))
+    metrics = sums.join(F.broadcast(names), "place", "left").withColumn("resident_available", F.when(F.col("place").isin(4, 5), 0).otherwise(1))  # ten names
+    parts = {str(k): metrics.where(F.col("snap") == k).drop("snap", "place") for k in range(4)}
+    return multi.pivoted(multi.unioned(parts))
 
 
 def _sessions(t: Snapshot) -> DataFrame:
-    guid = F.when(F.col("region_index") % 4 == 0, F.col("region_index") % 8 + 1)
-    name = F.concat(F.lit("Game_2026-05-1"), (F.col("region_index") % 10).cast("string"), F.lit("_10-28-31_level"))
-    info = t.system_memory_regions.select(F.concat(name, F.lit("_"), F.col("region_index").cast("string")).alias("snapshot_id"), guid.cast("long").alias("session_guid"), F.lit("format:17").alias("version"), F.col("address").alias("captured_at"))
-    return multi.sessions(info)
+    """Names with and without a context, some that are no capture's, some with a GUID, some without a time."""
+    i = F.col("region_index")
+    text = lambda c: c.cast("string")
+    name = F.concat(F.lit("Game_2026-05-1"), text(i % 10), F.lit("_10-28-3"), text(i % 6), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("_level_"), text(i % 2))), F.when(i % 7 == 0, F.concat(F.lit("#"), text(i))).otherwise(""))
+    info = t.system_memory_regions.select(
+        name.alias("snapshot_id"), F.when(i % 4 == 0, i % 8 + 1).otherwise(0).cast("long").alias("session_guid"), F.lit("").alias("product_name"), F.lit(None).cast("string").alias("platform"),
+        F.lit(None).cast("string").alias("engine_version"), (16 + i % 2).alias("snap_format_version"), F.when(i % 5 != 0, F.date_format(F.timestamp_seconds("address"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).alias("record_date_utc"),
+    )
+    return multi.sessions(multi.enriched(info))
 
 
 QUERIES: dict[str, Callable[[Snapshot], DataFrame]] = {

@@ -68,23 +68,42 @@ def test_types_and_duplicates_of_small_tables(spark):
 
 
 def test_sessions_and_names(spark):
-    rows = [("MyGame_2026-05-13_10-53-31_IOS_U63", 0, "format:17", "t2"), ("mygame_2026-05-13_10-53-31_ios_u63", None, "format:17", "t3"), ("MyGame_2026-05-13_10-28-31", None, "format:17", "t1"), ("MyGame_2026-05-13_14-30-06", None, "format:17", None), ("MyGame_2026-05-13_10-28-31x", None, "format:16", "t4"), ("a", 7, "x", "t5"), ("b", 7, "y", "t0")]
-    got = {r.snapshot_id: r for r in multi.sessions(spark.createDataFrame(rows, "snapshot_id string, session_guid long, version string, captured_at string")).collect()}
-    assert got["a"].session_no == got["b"].session_no == 1 and got["a"].representative == "b"
-    assert got[rows[0][0]].session_no == got[rows[1][0]].session_no == 3 and got[rows[2][0]].session_no == 2
-    assert len({r.session_no for r in got.values()}) == 5 and got[rows[3][0]].session_no == 5
-    for part in ("mygame", "2026-05-13", "10-53-31", "ios_u63", "format:17"):
-        assert part in got[rows[0][0]].session_key
+    rows = [("MyGame_2026-05-13_10-53-31_IOS_U63", 0, "format:17", "t2"), ("mygame_2026-05-13_10-59-59_ios_u63", None, "format:17", "t3"), ("MyGame_2026-05-13_10-28-31", None, "format:17", "t1"), ("MyGame_2026-05-13_14-30-06", None, "format:17", None), ("MyGame_2026-05-13_10-28-31x", None, "format:16", "t4"), ("a", 7, "x", "t5"), ("b", 7, "y", "t0")]
+    df = spark.createDataFrame(rows, "snapshot_id string, session_guid long, version string, captured_at string").selectExpr("*", "cast(null as string) product_name", "'Android 12' platform")
+    got = {r.snapshot_id: r for r in multi.sessions(df).collect()}
+    # A capture of unknown time comes first, names count in any case of letters.
+    assert got[rows[3][0]].session_no == 1 and got["a"].session_no == got["b"].session_no == 2 and got["a"].representative == "b"
+    assert got[rows[0][0]].session_no == got[rows[1][0]].session_no == 4 and got[rows[2][0]].session_no == 3 and got[rows[4][0]].session_no == 5
+    assert got[rows[0][0]].session_key == "mygame|2026-05-13|ios_u63|format:17" and got[rows[0][0]].title == "Session 4 · MyGame · Android · Snap format 17"
     names = spark.createDataFrame([("a b",), ("a/b",), ("A_b",), ("c",)], "name string")
     files = [r.file_name.lower() for r in multi.safe_names(names).collect()]
     assert len(set(files)) == 4 and "c" in files
 
 
-def test_session_titles(spark):
-    rows = [("MyGame_2026-05-13_10-53-31_IOS_U63", None, "format:17"), ("MyGame_2026-05-13_10-28-31", "Android", "format:17"), ("plain", None, "x")]
-    df = spark.createDataFrame(rows, "name string, platform string, version string")
-    got = [r[0] for r in df.select(multi.session_title(df.name, df.platform, df.version)).collect()]
-    assert got == ["MyGame · 2026-05-13 · 10:53:31 · iOS U63 · Snap format 17", "MyGame · 2026-05-13 · 10:28:31 · Android · General capture · Snap format 17", "plain · x"]
+def test_capture_titles(spark):
+    rows = [("MyGame_2026-05-13_10-53-31_IOS_U63", "format:17"), ("MyGame_2026-05-13_10-28-31", "format:17"), ("plain", "x"), ("2026-05-13_10-28-31", ""), ("a_2026-05-13_10-28-31x", "format:")]
+    df = spark.createDataFrame(rows, "name string, version string")
+    got = [r[0] for r in df.select(multi.capture_title(df.name, df.version)).collect()]
+    assert got == ["MyGame · 2026-05-13 · iOS U63 · Snap format 17", "MyGame · 2026-05-13 · 10:28:31 · General capture · Snap format 17", "plain · General capture · x", "2026-05-13_10-28-31 · General capture", "a_2026-05-13_10-28-31x · General capture"]
+
+
+def test_session_keys(spark):
+    rows = [("G_2026-05-13_10-28-31", "format:17"), ("G_2026-05-13_14-30-06", "format:17"), ("G_2026-05-13_10-53-31_IOS_U63", "format:17"), ("G_2026-05-13_11-00-00_IOS_U63", "format:17"), ("G_2026-05-13_10-28-31", "format:16"), ("x", "")]
+    df = spark.createDataFrame(rows, "name string, version string")
+    got = [r[0] for r in df.select(multi.session_key(df.name, df.version)).collect()]
+    # A context holds captures of a day together, the time keeps those without one apart.
+    assert got == ["G|2026-05-13|10-28-31|format:17", "G|2026-05-13|14-30-06|format:17", "G|2026-05-13|IOS_U63|format:17", "G|2026-05-13|IOS_U63|format:17", "G|2026-05-13|10-28-31|format:16", "x|_general|unknown"]
+
+
+def test_metadata_falls_back_to_the_capture_and_the_name(spark):
+    ddl = "snapshot_id string, session_guid long, product_name string, platform string, engine_version string, snap_format_version int, record_date_utc string"
+    info = spark.createDataFrame([("a_2026-05-13_10-28-31", 0, " ", None, "format:12", 0, None), ("b", 7, "P", "Android", "2022.1", 17, "2022-09-28T22:13:20+00:00"), ("c_2026-05-13_10-28-31", 0, None, None, "format:12", 0, None)], ddl)
+    files = spark.createDataFrame([("a_2026-05-13_10-28-31", 9, "Game", "IPhonePlayer", "2023.2", 18, "2024-01-02T03:04:05+00:00"), ("b", 8, "Q", "x", "y", 1, None)], ddl)
+    got = {r.snapshot_id[0]: r for r in multi.enriched(info, files).collect()}
+    assert tuple(got["a"])[1:5] == (9, "Game", "IPhonePlayer", "2023.2") and str(got["a"].captured_at) == "2024-01-02 03:04:05"
+    assert tuple(got["b"])[1:5] == (7, "P", "Android", "2022.1") and tuple(got["c"])[1:5] == (0, None, None, "format:12") and str(got["c"].captured_at) == "2026-05-13 10:28:31"
+    titles = {r.snapshot_id[0]: (r.session_no, r.title) for r in multi.sessions(multi.enriched(info, files)).collect()}
+    assert titles == {"b": (1, "Session 1 · P · Android · 2022.1"), "a": (2, "Session 2 · Game · iOS · 2023.2"), "c": (3, "Session 3 · c · Snap format 12")}
 
 
 def test_null_aware_sums_and_drift(spark):
