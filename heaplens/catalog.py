@@ -28,7 +28,7 @@ STAR = {
         case when n_nationkey % 6 = 0 then cast(0 as bigint) else cast(500000000 as bigint) end address_size, n_name name,
         case when n_nationkey = n_regionkey then cast(null as int) else n_regionkey end parent_region_index,
         case when n_nationkey % 4 = 0 then cast(null as int) else n_nationkey + 1 end first_allocation_index, n_nationkey * 10 num_allocations from {nation}""",
-    "native_allocations": """select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as int) allocation_index,
+    "native_allocations": """select cast(l_orderkey * 64 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as int) allocation_index,
         l_orderkey * 1000 + l_linenumber * 100 address, cast(floor(l_extendedprice) as bigint) size_bytes, cast(floor(l_tax * 100) as bigint) overhead_size_bytes,
         cast(floor(l_discount * 100) as bigint) padding_size_bytes, cast(l_suppkey % 25 as int) memory_region_index,
         case when l_quantity < 10 then cast(null as bigint) else l_partkey % 500 end root_reference_id from {lineitem}""",

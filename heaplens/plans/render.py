@@ -21,8 +21,8 @@ GROUPS = {
     "References": {"Edge types": reports.conn_types, "Most referenced": reports.most_referenced, "Without scripts": reports.most_referenced_excl, "Most outbound": reports.most_outbound},
     "Leaks": {"By type": reports.leaked_combined, "Destroyed in memory": reports.leaked_a_stats, "Ranking": reports.leak_ranking, "Orphaned wrappers": reports.leaked_b_stats, "All destroyed": reports.destroyed_types},
 }
-#: Rows of a section that are shown.
-SHOWN = 1000
+#: Titles of the groups of metrics.
+GROUP_TITLES = {"Totals": "Total", "AllocatedMemoryDistribution": "Allocated memory", "ManagedHeapUtilization": "Managed heap"}
 STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 8px}td.n{text-align:right}th{cursor:pointer;background:#eee}"
 SORT = """document.querySelectorAll('th').forEach(h=>h.onclick=()=>{const t=h.closest('table'),i=[...h.parentNode.children].indexOf(h),d=h.dataset.d=h.dataset.d==='1'?'-1':'1';
 [...t.tBodies[0].rows].sort((a,b)=>{const x=a.cells[i].dataset.v,y=b.cells[i].dataset.v;return d*(isNaN(x)||isNaN(y)?x.localeCompare(y):x-y)}).forEach(r=>t.tBodies[0].append(r))})"""
@@ -47,10 +47,10 @@ def cell(column: str, x: object) -> str:
 
 
 def table_html(df: DataFrame) -> str:
-    rows = df.limit(SHOWN).collect()
+    """All rows; queries with a limit have it of their own."""
     head = "".join(f"<th>{html.escape(title_of(c))}</th>" for c in df.columns)
     line = lambda r: "".join(f'<td{"" if isinstance(x, str) else " class=n"} data-v="{html.escape(str("" if x is None else x))}">{html.escape(cell(c, x))}</td>' for c, x in zip(df.columns, r, strict=True))
-    return f"<table><thead><tr>{head}</tr></thead><tbody>{''.join(f'<tr>{line(r)}</tr>' for r in rows)}</tbody></table>"
+    return f"<table><thead><tr>{head}</tr></thead><tbody>{''.join(f'<tr>{line(r)}</tr>' for r in df.toLocalIterator())}</tbody></table>"
 
 
 def insights(t: Snapshot) -> list[str]:
@@ -78,10 +78,33 @@ def report_html(t: Snapshot, title: str = "Heap snapshot") -> str:
     return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{html.escape(title)}</title><style>{STYLE}</style></head><body><h1>{html.escape(title)}</h1>{body}<script>{SORT}</script></body></html>"
 
 
-def multi_html(metrics: DataFrame, sessions: DataFrame, tracked: DataFrame) -> str:
-    """Snapshots side by side, in blocks of sessions."""
-    wide = sessions.join(multi.pivoted(metrics), "snapshot_id", "left").orderBy("session_no", "snapshot_id")
-    parts = f"<h1>Snapshots</h1>{table_html(wide)}<h2>Tracked types</h2>{table_html(tracked.orderBy('snapshot_id', 'tracked'))}"
+def grouped_html(df: DataFrame, groups: list[tuple[str, list[str]]], links: dict[str, str]) -> str:
+    """A table whose columns stand under the names of their groups; snapshots link to their reports."""
+    cols = [c for _, cs in groups for c in cs]
+    top = "".join(f'<th colspan={len(cs)}>{html.escape(g)}</th>' for g, cs in groups)
+    head = "".join(f"<th>{html.escape(title_of(c))}</th>" for c in cols)
+    body = ""
+    for r in df.select(*cols).toLocalIterator():
+        body += "<tr>"
+        for c in cols:
+            text = html.escape(cell(c, r[c]))
+            shown = f'<a href="{html.escape(links[r[c]])}">{text}</a>' if c == "snapshot_id" and r[c] in links else text
+            body += f'<td{"" if isinstance(r[c], str) else " class=n"} data-v="{html.escape(str("" if r[c] is None else r[c]))}">{shown}</td>'
+        body += "</tr>"
+    return f"<table><thead><tr>{top}</tr><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
+
+
+def multi_html(metrics: DataFrame, sessions: DataFrame, tracked: DataFrame, links: dict[str, str] | None = None) -> str:
+    """Snapshots side by side, in blocks of sessions under their titles, with links to reports of their own."""
+    wide = sessions.join(multi.pivoted(metrics), "snapshot_id", "left")
+    groups: dict[str, list[str]] = {"Snapshot": ["snapshot_id"]}
+    for g, c in multi.PIVOT:
+        groups.setdefault(GROUP_TITLES[g], []).extend(f"{multi.column_name(c)}_{x}" for x in ("committed", "resident"))
+    parts = "<h1>Snapshots</h1>"
+    for s in sessions.select("session_no", "title").distinct().orderBy("session_no").collect():  # one row per session
+        mine = wide.where(wide.session_no == s.session_no).orderBy("snapshot_id")
+        parts += f"<h2>{html.escape(s.title)}</h2>{grouped_html(mine, list(groups.items()), links or {})}"
+    parts += f"<h2>Tracked types</h2>{table_html(tracked.orderBy('snapshot_id', 'tracked'))}"
     return f"<!DOCTYPE html><html><head><meta charset=utf-8><style>{STYLE}</style></head><body>{parts}<script>{SORT}</script></body></html>"
 
 

@@ -18,9 +18,15 @@ from heaplens.schema import TABLES, VERSION, schema
 from heaplens.sources import snap as S
 from heaplens.sources.crawl import Heap
 
-#: Tables that come from a file; heap_sections serves the summary only.
+#: Tables that come from a file.
 EXTRACTED = ("schema_meta", "snapshot_info", "native_objects", "managed_objects", "connections", "native_roots", "memory_regions", "native_allocations", "system_memory_regions")
-HEAP = "section_index int, address long, size_bytes long, is_vm boolean"
+#: Tables that only the summary and the checks use; they are not stored.
+EXTRA = {
+    "heap_sections": "section_index int, address long, size_bytes long, is_vm boolean",
+    "page_runs": "region long, low long, high long, start long, size long",
+    "target_stats": "total_virtual long, graphics_used long",
+    "row_counts": "table_name string, rows long",
+}
 
 
 def _signed(x) -> int:
@@ -67,12 +73,15 @@ def edges_of(c: S.Container, handles: int, instance: np.ndarray, handle_of: np.n
 
 
 def tables_of(data: bytes, path: str) -> dict[str, list[dict]]:
-    """The rows of each table, and of heap_sections."""
+    """The rows of each table, and of those of EXTRA."""
     c = S.Container(data)
     meta = info(data, path)
-    out: dict[str, list[dict]] = {t: [] for t in (*EXTRACTED, "heap_sections")}
+    out: dict[str, list[dict]] = {t: [] for t in (*EXTRACTED, *EXTRA)}
     out["schema_meta"].append({"schema_version_major": VERSION[0], "schema_version_minor": VERSION[1], "tool_version": None, "created_at_utc": meta["exported_at_utc"]})
     out["snapshot_info"].append(meta)
+    stats = S.target_stats(c)
+    if stats:
+        out["target_stats"].append({k: _signed(v) for k, v in stats.items()})
 
     n = c.count("root_id")
     roots = c.array("root_id", "<i8", n, 0)
@@ -83,6 +92,7 @@ def tables_of(data: bytes, path: str) -> dict[str, list[dict]]:
         bits = np.unpackbits(np.frombuffer(b"".join(c.raw("page_state")), np.uint8), bitorder="little").astype(bool)
         k = c.count("page_address")
         pages = bits, meta["page_size"], c.array("page_address", "<u8", k, 0), c.array("page_first", "<i4", k, 0), c.array("page_last", "<i4", k, 0)
+        out["page_runs"] = page_runs(*pages)
 
     k = c.count("system_address") if c.version >= S.V_SYSTEM else 0
     starts = c.array("system_address", "<u8", k, 0) if k else np.zeros(0, "<u8")
@@ -164,6 +174,19 @@ def tables_of(data: bytes, path: str) -> dict[str, list[dict]]:
                 links["managed_object", r["managed_object_index"], "native_object", r["native_object_index"], "managed_native_bridge"] = None
                 links["native_object", r["native_object_index"], "managed_object", r["managed_object_index"], "native_gc_handle_bridge"] = None
     out["connections"] = [dict(zip(("from_kind", "from_index", "to_kind", "to_index", "connection_type"), x, strict=True)) for x in links]
+    out["row_counts"] = [{"table_name": t, "rows": len(out[t])} for t in EXTRACTED]
+    return out
+
+
+def page_runs(bits: np.ndarray, page: int, base: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[dict]:
+    """Of each region the bounds of its pages and the runs of resident ones, by address; one of size 0 if there is none."""
+    out = []
+    for region, (at, lo, hi) in enumerate(zip(base.tolist(), first.tolist(), last.tolist(), strict=True)):
+        low, pages = at // page * page, max(0, min(hi, len(bits) - 1) - lo + 1)
+        mine = np.concatenate([[False], bits[lo : lo + pages], [False]]).astype(np.int8)
+        turns = np.flatnonzero(np.diff(mine))
+        for a, b in zip(turns[::2].tolist() or [0], turns[1::2].tolist() or [0], strict=True):
+            out.append({"region": region, "low": _signed(low), "high": _signed(low + pages * page), "start": _signed(low + a * page), "size": (b - a) * page})
     return out
 
 
@@ -191,14 +214,50 @@ def _residents(pages, regions, where, sizes, roots, address, room, held) -> dict
 
 
 def _struct(table: str):
-    return schema(table) if table in TABLES else HEAP
+    return schema(table) if table in TABLES else EXTRA[table]
+
+
+def header_of(path: str) -> dict | None:
+    """info() of a capture file, of which only the parts that it needs are read; None if there is none.
+
+    Local files are mapped into memory; other file systems read the file.
+    """
+    import mmap
+    import os
+
+    local = path.removeprefix("file://")
+    if "://" not in local:
+        if not os.path.exists(local):
+            return None
+        with open(local, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return info(memoryview(data), path)
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    if system.get_file_info(at).type == fs.FileType.NotFound:
+        return None
+    with system.open_input_file(at) as f:
+        return info(f.read(), path)
+
+
+def capture_names(spark: SparkSession, folder: str, name_filter: str = "") -> list[str]:
+    """Names of the captures directly in a folder that hold the filter in any case of letters, without reading them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if x.isFile()]
+    return sorted(n.removesuffix(".snap") for n in found if n.endswith(".snap") and name_filter.lower() in n.lower())
+
 
+def extract(spark: SparkSession, folder: str, out: str, name_filter: str = "", names: list[str] | None = None) -> list[str]:
+    """Write the tables of captures directly in a folder to out/<table>, with their snapshot_id; the ids.
 
-def extract(spark: SparkSession, folder: str, out: str, name_filter: str = "") -> list[str]:
-    """Write the tables of all captures directly in a folder to out/<table>, with their snapshot_id; the ids."""
+    names: only these captures; by default all that the filter leaves.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.snap").option("recursiveFileLookup", "false").load(folder)
-    files = files.where(F.contains(F.lower(F.element_at(F.split("path", "/"), -1)), F.lit(name_filter.lower())))
-    tables = (*EXTRACTED, "heap_sections")
+    name = F.element_at(F.split("path", "/"), -1)
+    files = files.where(F.contains(F.lower(name), F.lit(name_filter.lower())))
+    if names is not None:
+        files = files.where(name.isin(*[f"{n}.snap" for n in names]))
+    tables = (*EXTRACTED, *EXTRA)
     empty = {t: spark.createDataFrame([], _struct(t)).schema for t in tables}
     arrow = pa.schema([("snapshot_id", pa.string()), ("table", pa.string()), *((t, to_arrow_type(s)) for t, s in empty.items())])
 
@@ -222,5 +281,5 @@ def load(spark: SparkSession, store: str, snapshot_id: str | None = None) -> Sna
     df = df.where(F.col("snapshot_id") == snapshot_id) if snapshot_id is not None else df
     keep = [] if snapshot_id is not None else ["snapshot_id"]
     part = lambda t: df.where(F.col("table") == t).select(*keep, f"{t}.*")
-    return Snapshot(spark, {t: part(t) for t in (*EXTRACTED, "heap_sections")})
+    return Snapshot(spark, {t: part(t) for t in (*EXTRACTED, *EXTRA)})
 

@@ -112,6 +112,15 @@ class Container:
         starts = [extra, *ends[:-1]] if ends else []
         return [self.span(block, s, e - s) for s, e in zip(starts, ends, strict=True)]
 
+    def leading(self, name: str, n: int) -> bytes:
+        """The first n bytes of an entry's block, whatever size the entry tells; fewer where the block ends."""
+        head = self._head(name)
+        if head is None or head[1] == DYNAMIC:
+            return b""
+        _, form, block, _, extra = head
+        start = extra if form == SINGLE else 0
+        return self.span(block, start, max(0, min(n, self.blocks[block][1] - start)))
+
     def array(self, name: str, kind: str, n: int | None = None, default: int | None = None) -> np.ndarray:
         """The numbers of an entry. n: the length it must have; default: what fills a missing one."""
         head, size = self._head(name), np.dtype(kind).itemsize
@@ -139,6 +148,12 @@ class Container:
         return int(self.array("version", "<u4")[0]) if self.has("version") else 0
 
 
+def target_stats(c: Container) -> dict | None:
+    """What the device reported of its memory: total_virtual and graphics_used bytes; None without it."""
+    data = c.leading("target_stats", 40)
+    return {"total_virtual": struct.unpack_from("<Q", data, 0)[0], "graphics_used": struct.unpack_from("<Q", data, 32)[0]} if len(data) == 40 else None
+
+
 def target_info(c: Container) -> dict:
     """session_guid, platform, engine_version, product_name of the profile target, {} where there is none."""
     if c.version < V_TARGET:

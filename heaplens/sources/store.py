@@ -51,6 +51,17 @@ def read(spark: SparkSession, folder: str) -> Snapshot:
     return Snapshot(spark, tables)
 
 
+def discover(spark: SparkSession, folder: str, name_filter: str = "") -> list[str]:
+    """The folder itself if it is a store, else the stores directly in it whose names hold the filter, by name."""
+    folder = folder.rstrip("/")
+    if any(exists(spark, f"{folder}/{t}") for t in TABLES) or not exists(spark, folder):
+        return [folder]
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if x.isDirectory()]
+    names = [n for n in names if name_filter.lower() in n.lower() and not n.startswith(("_", ".")) and any(exists(spark, f"{folder}/{n}/{t}") for t in TABLES)]
+    return [f"{folder}/{n}" for n in sorted(names, key=str.lower)]
+
+
 def drifted(df: DataFrame, table: str) -> DataFrame:
     missing = [f for f in schema(table).fields if f.name not in df.columns]
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])

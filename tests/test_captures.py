@@ -5,10 +5,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from heaplens.plans import quality, summary
+from heaplens import cli
 from heaplens.operators import sweep
+from heaplens.operators.residency import resident_ranges, resident_spans
+from heaplens.plans import quality, summary
 from heaplens.sources import snap as S
-from heaplens.sources.captures import extract, load, platform_of, tables_of, utc_of
+from heaplens.sources import store
+from heaplens.sources.captures import extract, header_of, load, page_runs, platform_of, tables_of, utc_of
 
 
 def version(v):
@@ -132,3 +135,69 @@ def test_folder_to_tables(spark, tmp_path):
     got = {(r.metric_group, r.category): r.committed_bytes for r in summary.summary_metrics(spans, False).collect()}
     assert got["AllocatedMemoryDistribution", "Managed"] == 512 and got["ManagedHeapUtilization", "Objects"] == 48 + 32 + 32 + 28
     assert np.isclose(got["ManagedHeapUtilization", "Virtual Machine"], 512 - 140)
+
+
+def pages_file(v=17, **more):
+    """Two system regions of four and two pages, of which 1, 3 and 4 are resident; a root, an allocation, an object."""
+    return S.write({
+        **version(v), "root_id": ("<i8", [1, 2]), "root_area": ("strings", ["a", "b"]), "root_object": ("strings", ["x", "IL2CPP VM"]), "root_size": ("<u8", [0, 0]),
+        "system_address": ("<u8", [0x1000, 0x9000]), "system_size": ("<u8", [0x4000, 0x2000]), "system_resident": ("<u8", [0, 0]), "system_type": ("<i4", [0, 3]), "system_name": ("strings", ["[anon:dalvik-x]", "/dev/kgsl"]),
+        "page_address": ("<u8", [0x1000, 0x9000]), "page_first": ("<i4", [0, 4]), "page_last": ("<i4", [3, 5]), "page_state": ("u1", [0b011010]), "page_size": ("<u8", [0x1000]),
+        "alloc_address": ("<u8", [0x1800, 0x3000]), "alloc_size": ("<u8", [0x1000, 0x800]), "alloc_region": ("<i4", [-1, -1]), "alloc_root": ("<i8", [1, 2]), "alloc_overhead": ("<u8", [0, 0]), "alloc_padding": ("<u8", [0, 0]), **more,
+    })
+
+
+def metrics_of(spark, tmp_path, data, name="one"):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in" / f"{name}.snap").write_bytes(data)
+    assert cli.export(spark, str(tmp_path / "in"), str(tmp_path / "out"), name, "full") == 0
+    return {(r.metric_group, r.category): (r.committed_bytes, r.resident_bytes, r.resident_available) for r in store.read(spark, str(tmp_path / "out" / name)).summary_metrics.collect()}
+
+
+def test_exported_metrics_have_resident_bytes(spark, tmp_path):
+    got = metrics_of(spark, tmp_path, pages_file())
+    # Pages 0x2000, 0x4000 and 0x9000 are resident; the allocations hold 0x1800-0x2800 and 0x3000-0x3800.
+    assert got["Totals", "Total"] == (0x6000, 0x3000, 1)
+    d = "AllocatedMemoryDistribution"
+    assert got[d, "Native"] == (0x1000, 0x800, 1) and got[d, "Managed"] == (0x800, 0, 1)
+    assert got[d, "Graphics (Estimated)"] == (0x2000, 0, 0) and got[d, "Untracked"] == (0x2800, 0, 0)
+    old = metrics_of(spark, tmp_path, pages_file(16), "old")
+    assert old["Totals", "Total"] == (0x6000, 0, 1)
+
+
+def test_exported_metrics_know_platform_and_device(spark, tmp_path):
+    d = "AllocatedMemoryDistribution"
+    droid = metrics_of(spark, tmp_path, pages_file(), "game_android")
+    assert droid[d, "Android Runtime"] == (0x2800, 0x1800, 1) and droid[d, "Graphics (Estimated)"] == (0x2000, 0, 0)
+    stats = struct.pack("<5Q", 0x100000, 0, 0, 0, 0x2800)
+    more = metrics_of(spark, tmp_path, pages_file(target_stats=("single", stats)), "stats")
+    assert more[d, "Graphics (Estimated)"] == (0x2800, 0, 0) and more[d, "Untracked"] == (0x2000, 0, 0) and more["Totals", "Total"] == (0x6000, 0x3000, 1)
+
+
+def test_runs_of_pages():
+    rows = page_runs(np.array([0, 1, 1, 0, 1, 0], bool), 4096, np.array([0x1234, 0x9000, 0x20000]), np.array([0, 4, 5]), np.array([3, 4, 9]))
+    assert [(r["region"], r["low"], r["high"], r["start"], r["size"]) for r in rows] == [(0, 0x1000, 0x5000, 0x2000, 0x2000), (1, 0x9000, 0xA000, 0x9000, 0x1000), (2, 0x20000, 0x21000, 0x20000, 0)]
+
+
+def test_residents_of_spans_are_those_of_the_ranges(spark):
+    rng = np.random.default_rng(4)
+    bits, base, first, last = rng.random(60) < 0.5, np.array([0x10000, 0x80000]), np.array([0, 40]), np.array([39, 59])
+    runs = spark.createDataFrame([{"snapshot_id": s, **r} for s in "ab" for r in page_runs(bits, 4096, base, first, last)])
+    rows = []
+    for region in (0, 1):
+        at = int(base[region]) - 4096
+        while at < int(base[region]) + 42 * 4096:
+            size = int(rng.integers(1, 30_000))
+            rows.append(("a", region, at, size))
+            at += size
+    spans = spark.createDataFrame(rows + [("b", *r[1:]) for r in rows[:5]], "snapshot_id string, region long, address long, size long")
+    for r in resident_spans(spans, runs).collect():
+        i = r.region
+        assert r.resident == resident_ranges(bits, 4096, int(first[i]), int(last[i]), int(base[i]), np.array([r.address]), np.array([r.size]))[0]
+
+
+def test_headers_are_read_alone(tmp_path):
+    path = tmp_path / "x_ios.snap"
+    path.write_bytes(pages_file())
+    got = header_of(str(path))
+    assert got["platform"] == "IPhonePlayer" and got["page_size"] == 0x1000 and got["snap_format_version"] == 17 and header_of(str(tmp_path / "no.snap")) is None
