@@ -1,7 +1,8 @@
 """Sweeps over address intervals: the innermost owner of every span, and a flat variant.
 
-The nested sweep cuts each snapshot's address space into islands, at the addresses where no interval is
-open; islands don't influence each other, so each is a group of its own and a snapshot is not one task.
+Points are dealt by ranges of addresses; what is open at a range's start comes from sums over the ranges before
+it. The nested sweep cuts each address space into islands, at the addresses where no interval is open; islands
+don't influence each other, so each is a group of its own. Neither sweep sorts a snapshot in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heaplens.operators.graph import kept
+
 #: Kinds of intervals in the order of nesting; 0 is free space.
 FREE, SYSTEM, NATIVE, HEAP, ALLOCATION, OBJECT, MANAGED = range(7)
 SPANS = "snapshot_id string, kind int, idx long, region long, address long, size long"
@@ -60,14 +63,30 @@ def _island(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[(out["kind"] != FREE) & (out["size"] > 0)][["snapshot_id", "kind", "idx", "region", "address", "size"]]
 
 
+def ranged(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by ranges of ``by``, with the number of the range as part, written once.
+
+    Rows that are equal in ``by`` lie in one part; parts ascend. A row for each part then carries sums and
+    neighbours from part to part, so that nothing is sorted in one task.
+    """
+    return kept(df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+
+
 def nested_spans(intervals: DataFrame) -> DataFrame:
     """snapshot_id, kind, idx, region, address, size of each owned span; region is -1 outside system regions."""
-    p = points(intervals)
-    open_ = F.sum(F.when(F.col("is_end"), -1).otherwise(1)).over(Window.partitionBy("snapshot_id").orderBy("at", F.desc("is_end"), "kind", "idx").rowsBetween(Window.unboundedPreceding, -1))
-    order = Window.partitionBy("snapshot_id").orderBy("at", F.desc("is_end"), "kind", "idx")
+    p = ranged(points(intervals), "snapshot_id", "at").withColumn("turn", F.when(F.col("is_end"), -1).otherwise(1))
+    order = Window.partitionBy("snapshot_id", "part").orderBy("at", F.desc("is_end"), "kind", "idx")
+    parts = Window.partitionBy("snapshot_id").orderBy("part")  # one row for each part
+    sums = p.groupBy("snapshot_id", "part").agg(F.sum("turn").alias("turns"))
+    opened = kept(sums.select("snapshot_id", "part", (F.sum("turns").over(parts) - F.col("turns")).alias("carried")))
+    open_ = F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, -1))
     # A start while nothing is open begins an island; where one interval ends and another begins there, too.
-    island = F.sum(F.when((F.coalesce(open_, F.lit(0)) == 0) & ~F.col("is_end"), 1).otherwise(0)).over(order)
-    return p.withColumn("island", island).groupBy("snapshot_id", "island").applyInPandas(_island, SPANS)
+    begins = F.when((F.coalesce(open_, F.lit(0)) + F.col("carried") == 0) & ~F.col("is_end"), 1).otherwise(0)
+    marked = p.join(opened, ["snapshot_id", "part"]).withColumn("begins", begins)
+    before = marked.groupBy("snapshot_id", "part").agg(F.sum("begins").alias("n"))
+    numbers = kept(before.select("snapshot_id", "part", (F.sum("n").over(parts) - F.col("n")).alias("islands")))
+    island = F.col("islands") + F.sum("begins").over(order)
+    return marked.drop("carried").join(numbers, ["snapshot_id", "part"]).withColumn("island", island).select("snapshot_id", "island", "kind", "idx", "at", "is_end").groupBy("snapshot_id", "island").applyInPandas(_island, SPANS)
 
 
 def flat_spans(regions: DataFrame, owned: DataFrame) -> DataFrame:
@@ -81,9 +100,15 @@ def flat_spans(regions: DataFrame, owned: DataFrame) -> DataFrame:
     start = some.select("snapshot_id", "source", "idx", F.col("address").alias("at"), F.when(F.col("source") == "allocation", 2).otherwise(3).alias("rank"))
     end = some.select("snapshot_id", "source", "idx", (F.col("address") + F.col("size")).alias("at"), F.lit(0).alias("rank"))
     region = regions.select("snapshot_id", F.lit("region").alias("source"), "idx", F.col("address").alias("at"), F.lit(1).alias("rank"))
-    w = Window.partitionBy("snapshot_id").orderBy("at", "rank", "source", "idx")
-    swept = start.select(*cols).unionByName(end.select(*cols)).unionByName(region.select(*cols)).select(
-        *cols, F.lead("at").over(w).alias("next"), F.last(F.when(F.col("rank") == 1, F.col("idx")), True).over(w).alias("region")
-    )
-    kept = swept.where("rank >= 2 and region is not null and next > at")
-    return kept.select("snapshot_id", "source", "idx", "region", F.col("at").alias("address"), (F.col("next") - F.col("at")).alias("size"))
+    p = ranged(start.select(*cols).unionByName(end.select(*cols)).unionByName(region.select(*cols)), "snapshot_id", "at")
+    begun = F.when(F.col("rank") == 1, F.col("idx"))
+    # What a part passes on: where it begins, to the part before; its last region, to those after.
+    last = F.max(F.when(F.col("rank") == 1, F.struct("at", "rank", "source", "idx")))
+    parts = Window.partitionBy("snapshot_id").orderBy("part")  # one row for each part
+    edges = p.groupBy("snapshot_id", "part").agg(F.min("at").alias("low"), last.alias("last"))
+    held = F.last("last.idx", True).over(parts.rowsBetween(Window.unboundedPreceding, -1))
+    edges = kept(edges.select("snapshot_id", "part", F.lead("low").over(parts).alias("then"), held.alias("held")))
+    w = Window.partitionBy("snapshot_id", "part").orderBy("at", "rank", "source", "idx")
+    swept = p.join(edges, ["snapshot_id", "part"]).select(*cols, F.coalesce(F.lead("at").over(w), "then").alias("next"), F.coalesce(F.last(begun, True).over(w), "held").alias("region"))
+    found = swept.where("rank >= 2 and region is not null and next > at")
+    return found.select("snapshot_id", "source", "idx", "region", F.col("at").alias("address"), (F.col("next") - F.col("at")).alias("size"))

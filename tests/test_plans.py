@@ -122,7 +122,12 @@ def test_reports_render(spark):
 
 
 def test_views_answer_ad_hoc_sql(spark):
-    views.register(from_star(spark, "/root/testdata/sf0.001"))
+    t = from_star(spark, "/root/testdata/sf0.001")
+    views.register(t)
+    for page in (None, 4096):
+        call = "region_page_density('BUILDING')" if page is None else f"region_page_density('BUILDING', {page}L)"
+        assert [tuple(r) for r in spark.sql(f"select * from {call}").collect()] == [tuple(r) for r in views.region_page_density(t, "BUILDING", page).collect()]
+    assert spark.sql("select * from region_page_density('no such')").first().touched_bytes is None
     assert spark.sql("select count(*) n from region_allocations('BUILDING')").first().n == spark.sql("select count(*) n from v_allocation_enriched where system_region_name = 'BUILDING'").first().n
 
 
