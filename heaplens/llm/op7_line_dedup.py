@@ -40,6 +40,9 @@ MIN_WORDS = 50
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 #: Words of a fingerprint of windows of words, if windows have as many.
 MARK_WORDS = 8
+#: Up to so many runs (16 bytes each) and texts that they lie in (100 bytes each) are sent to the executors, more
+#: meet the texts by a shuffle that splits hot keys.
+BROADCAST_RUNS, BROADCAST_DOCS = 2_000_000, 500_000
 #: Low bits of a word's hash that give its place to the number of the word; no string has more words.
 PLACE = (1 << 30) - 1
 
@@ -126,7 +129,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     scratch.drop("found", "firsts")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_lines_deleted"]).alias("row_"))
     text = F.col("row_.text").cast("string")
-    joined = row.join(gone, F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("hash_")), "left")
+    joined = row.join(small(gone), F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("hash_")), "left")
     cut = joined.withColumn("lines_", F.when(F.col("gone_").isNotNull(), F.split(text, "\n")))
     count = F.aggregate("gone_", F.lit(0), lambda n, x: n + x["end"] - x["start"] + 1)
     left = F.when(F.col("gone_").isNull(), text).otherwise(F.expr(KEPT))
@@ -134,6 +137,12 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return cut.select(*fields, F.coalesce(count, F.lit(0)).alias("n_lines_deleted"))
 
 
+def small(gone: DataFrame) -> DataFrame:
+    """Runs by text (gone_), marked for a broadcast if they are few."""
+    n = gone.agg(F.count("*").alias("texts"), F.sum(F.size("gone_")).alias("runs")).first()
+    return F.broadcast(gone) if n.texts <= BROADCAST_DOCS and (n.runs or 0) <= BROADCAST_RUNS else gone
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once for each row."""
     return F.transform(F.array(value), f)[0]
@@ -143,12 +152,22 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def window_minima(values: Column, span: int) -> Column:
+    """The least of each span of values from every place on, by doubling: minima of 2, 4, 8 ... then of two that overlap."""
+
+    def doubled(m: Column, done: int) -> Column:
+        if 2 * done > span:
+            return F.transform(m, lambda x, i: F.least(x, F.get(m, i + (span - done)))) if done < span else m
+        return let(F.transform(m, lambda x, i: F.least(x, F.get(m, i + done))), lambda twice: doubled(twice, 2 * done))
+
+    return let(values, lambda v: doubled(v, 1))
+
+
 def word_marks(text: Column, min_words: int) -> Column:
     """array<struct<mark,low,high>>: fingerprints, each with the first and last start of the windows that select it."""
     size = min(MARK_WORDS, min_words)
     starts = lambda w: F.sequence(F.lit(0), F.size(w) - min_words)
     placed = lambda w: F.transform(w, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
-    least = lambda w, p: F.transform(starts(w), lambda i: F.array_min(F.slice(p, i + 1, min_words - size + 1)))
     lows = lambda w, m: F.filter(starts(w), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
 
     def marks(w: Column, m: Column, low: Column) -> Column:
@@ -159,7 +178,7 @@ def word_marks(text: Column, min_words: int) -> Column:
 
         return F.transform(low, mark)
 
-    found = lambda w: let(placed(w), lambda p: let(least(w, p), lambda m: let(lows(w, m), lambda low: marks(w, m, low))))
+    found = lambda w: let(window_minima(placed(w), min_words - size + 1), lambda m: let(lows(w, m), lambda low: marks(w, m, low)))
     return let(words_of(text), lambda w: F.when(F.size(w) >= min_words, found(w)))
 
 
@@ -182,7 +201,11 @@ def repeated_words(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     ranges = every.join(marks, "mark", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     ranges = scratch.table(ranges, "ranges").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "ranges")
     scratch.drop("marks")
-    some = texts.join(ranges, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
+    wanted = ranges.select("id_", "hash_")
+    # Only texts with a joined mark move to their ranges, if their ids are few enough to tell them beforehand.
+    few = texts.join(F.broadcast(wanted), same, "left_semi") if wanted.count() <= BROADCAST_DOCS else texts
+    some = few.join(ranges.hint("merge"), same)
     found = scratch.table(some.select("doc_id", "text_hash", F.inline(word_windows(F.col("text"), F.col("ranges"), min_words))), "words")
     place = F.struct("doc_id", "text_hash", "start")
     firsts = found.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last_")).where("first < last_").select("k1", "k2", "first")
@@ -217,7 +240,7 @@ def passage_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     scratch.drop("words", "word_firsts", "ranges")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_words_deleted"]).alias("row_"))
     text = F.col("row_.text").cast("string")
-    cut = row.join(gone, F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("hash_")), "left")
+    cut = row.join(small(gone), F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("hash_")), "left")
     count = F.aggregate("gone_", F.lit(0), lambda n, x: n + x["end"] - x["start"] + 1)
     left = F.when(F.col("gone_").isNull(), text).otherwise(without_words(text, F.col("gone_")))
     fields = [left.alias("text") if c == "text" else F.col(f"row_.`{c}`") for c in docs.columns if c != "n_words_deleted"]
