@@ -53,7 +53,7 @@ def info(data: bytes, path: str) -> dict:
     page = c.array("page_size", "<u8") if c.version >= S.V_PAGES else []
     return {
         "snapshot_path": path, "exported_at_utc": datetime.now(UTC).isoformat(), "engine_version": target.get("engine_version"), "snap_format_version": c.version or None,
-        "session_guid": target.get("session_guid") or None, "product_name": target.get("product_name"), "platform": target.get("platform") or platform_of(path),
+        "session_guid": target.get("session_guid") or None, "product_name": target.get("product_name"), "platform": target.get("platform") or (S.legacy_platform(c) or "").strip() or platform_of(path),
         "record_date_utc": utc_of(int(ticks[0])) if len(ticks) else None, "page_size": int(page[0]) or None if len(page) else None,
     }
 

@@ -154,6 +154,22 @@ def target_stats(c: Container) -> dict | None:
     return {"total_virtual": struct.unpack_from("<Q", data, 0)[0], "graphics_used": struct.unpack_from("<Q", data, 32)[0]} if len(data) == 40 else None
 
 
+def legacy_platform(c: Container) -> str | None:
+    """The platform in the user metadata of older formats: a description and a platform, as counted UTF-16 strings."""
+    head = c._head("user_metadata")
+    data = c.raw("user_metadata")[0] if head is not None and head[1] == SINGLE else b""
+    if len(data) < 8:
+        return None
+    (described,) = struct.unpack_from("<i", data)
+    at = 4 + 2 * described
+    if described < 0 or at + 4 > len(data):
+        return None
+    (n,) = struct.unpack_from("<i", data, at)
+    if n <= 0 or at + 4 + 2 * n > len(data):
+        return "Unknown Platform"
+    return data[at + 4 : at + 4 + 2 * n].decode("utf-16-le", "replace")
+
+
 def target_info(c: Container) -> dict:
     """session_guid, platform, engine_version, product_name of the profile target, {} where there is none."""
     if c.version < V_TARGET:

@@ -201,3 +201,15 @@ def test_headers_are_read_alone(tmp_path):
     path.write_bytes(pages_file())
     got = header_of(str(path))
     assert got["platform"] == "IPhonePlayer" and got["page_size"] == 0x1000 and got["snap_format_version"] == 17 and header_of(str(tmp_path / "no.snap")) is None
+
+
+def test_platforms_of_older_formats():
+    def blob(text, platform):
+        return struct.pack("<i", len(text)) + text.encode("utf-16-le") + struct.pack("<i", len(platform)) + platform.encode("utf-16-le")
+
+    def platform(data, path="x.snap"):
+        return tables_of(S.write({**version(8), "user_metadata": ("single", data)}), path)["snapshot_info"][0]["platform"]
+
+    assert platform(blob("a note é", "Android")) == "Android" and platform(blob("", "PS4")) == "PS4"
+    assert platform(blob("x", "") + b"....") == "Unknown Platform" and platform(b"123", "a_ios.snap") == "IPhonePlayer"
+    assert platform(struct.pack("<i", 99) + b"1234") is None

@@ -115,7 +115,7 @@ def test_null_aware_sums_and_drift(spark):
 def test_reports_render(spark):
     t = from_star(spark, "/root/testdata/sf0.001")
     page = render.report_html(t, "a <b>")
-    assert page.count("<table>") >= 20 and "a &lt;b&gt;" in page and "five largest native types" in page
+    assert page.count("<table>") >= 25 and "a &lt;b&gt;" in page and "five largest native types" in page and "would free" in page
     text = render.summary_text(snapshot(spark), (1, 1))
     assert "Schema      : 1.1" in text and "—" in text and "10,000,000 B" in text
     assert "export the capture again" in render.summary_text(t)
