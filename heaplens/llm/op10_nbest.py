@@ -18,8 +18,8 @@ Decoding joins the pieces' bytes. As in the library, ▁ in a text reads back as
 
 Edge cases: null texts give null results, empty ones no ids and one segmentation; texts with fewer than N
 segmentations have all of them; ties go to the longer last piece, then to the earlier unit; repeated rows
-and null or repeated doc_ids are rows like others; further columns are ignored; an empty table gives an
-empty result.
+and null or repeated doc_ids are rows like others; a very long text is taken whole, with memory in proportion
+to it; further columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heaplens.llm.common import HOLDERS, only, release
+from heaplens.llm.shingles import slices
 
 #: Segmentations of each text.
 N_BEST = 4
+#: Characters of the texts that a Python worker takes at once; a longer text goes alone.
+CHARS = 400_000
 #: Score of a byte below the least score of a piece.
 BYTE_COST = 10.0
 #: Units whose best paths a process keeps.
@@ -337,13 +340,11 @@ def nbest_segmentations(docs: DataFrame, path: str, n: int = N_BEST) -> DataFram
             return [{"score": s, "n_tokens": len(i), "ids_crc32": zlib.crc32(i.astype("<u4").tobytes())} for (s, _), i in zip(found, best, strict=True)]
 
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                texts = part.column(1).to_pylist()
+            for first, texts in slices(b, 1, CHARS):
                 found = lat.encode([t or "" for t in texts], n)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        b.column(0).slice(first, len(texts)),
                         pa.array([None if t is None else np.frombuffer(f[0][1], lat.width).astype(np.int32) for t, f in zip(texts, found, strict=True)], pa.list_(pa.int32())),
                         pa.array([None if t is None else row(f) for t, f in zip(texts, found, strict=True)], pa.list_(item)),
                         pa.array([None if t is None else lat.decode(f[0][1]) for t, f in zip(texts, found, strict=True)], pa.string()),
