@@ -1,4 +1,4 @@
-"""Command line: export, report, multi-report, summary, validate, upgrade."""
+"""Command line: export, report, multi-report, summary, sql, validate, upgrade."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from heaplens.catalog import Snapshot
 from heaplens.operators import sweep
 from heaplens.operators.residency import resident_spans
-from heaplens.plans import golden, multi, quality, render, summary
+from heaplens.plans import golden, multi, quality, render, summary, views
 from heaplens.schema import describe, evaluate
 from heaplens.sources import captures, store
 
@@ -135,6 +135,10 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
+    q = sub.add_parser("sql")
+    q.add_argument("store")
+    q.add_argument("statement")
+    q.add_argument("--arg", action="append", default=[], metavar="NAME=VALUE")
     m = sub.add_parser("multi-report")
     m.add_argument("out")
     m.add_argument("stores", nargs="+")
@@ -153,6 +157,10 @@ def main(argv: list[str] | None = None) -> int:
         print(store.upgrade(spark, a.store))
         return 0
     t = store.read(spark, a.store)
+    if a.command == "sql":
+        for row in views.ask(t, a.statement, **dict(x.split("=", 1) for x in a.arg)).toLocalIterator():
+            print(*("" if x is None else x for x in row), sep="\t")
+        return 0
     print(render.summary_text(t, store.version_of(t)))
     return 0
 

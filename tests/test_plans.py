@@ -128,6 +128,8 @@ def test_views_answer_ad_hoc_sql(spark):
         call = "region_page_density('BUILDING')" if page is None else f"region_page_density('BUILDING', {page}L)"
         assert [tuple(r) for r in spark.sql(f"select * from {call}").collect()] == [tuple(r) for r in views.region_page_density(t, "BUILDING", page).collect()]
     assert spark.sql("select * from region_page_density('no such')").first().touched_bytes is None
+    asked = views.ask(t, "select count(*) n from native_objects where native_type_name = :kind and size_bytes > :least", kind="AssetBundle", least=1000)
+    assert asked.first().n == t.native_objects.where("native_type_name = 'AssetBundle' and size_bytes > 1000").count()
     assert spark.sql("select count(*) n from region_allocations('BUILDING')").first().n == spark.sql("select count(*) n from v_allocation_enriched where system_region_name = 'BUILDING'").first().n
 
 
