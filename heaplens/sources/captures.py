@@ -266,8 +266,11 @@ def extract(spark: SparkSession, folder: str, out: str, name_filter: str = "", n
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 name = path.rsplit("/", 1)[-1].removesuffix(".snap")
                 for t, rows in tables_of(data.as_py(), path).items():
-                    for k in range(0, len(rows), 4096):
-                        yield pa.RecordBatch.from_pylist([{"snapshot_id": name, "table": t, t: r} for r in rows[k : k + 4096]], arrow)
+                    for k in range(0, len(rows), 65_536):
+                        part = pa.array(rows[k : k + 65_536], arrow.field(t).type)
+                        n = len(part)
+                        # One column is full, the others cost nothing but their null bits.
+                        yield pa.RecordBatch.from_arrays([pa.repeat(name, n), pa.repeat(t, n), *(part if c == t else pa.nulls(n, arrow.field(c).type) for c in tables)], schema=arrow)
 
     ddl = "snapshot_id string, `table` string, " + ", ".join(f"{t} {s.simpleString()}" for t, s in empty.items())
     # A file is decoded by one task; all its rows are written once and read back by table.
