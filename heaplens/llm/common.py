@@ -24,12 +24,6 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint of a small table: cuts lineage and survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def removed(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -75,6 +69,15 @@ class Scratch:
             removed(self.spark, path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A small table, written and read again: cuts lineage and survives lost executors.
+
+    Unlike a checkpointed frame, a table read again brings no constraints along, which grow with each round of
+    a loop and make planning its largest part.
+    """
+    return Scratch(df.sparkSession, "small").table(df, "rows")
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder that the driver and the executors share."""
     from pyarrow import fs

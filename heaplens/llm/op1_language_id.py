@@ -37,6 +37,8 @@ MAX_LANGS = 400
 BUCKETS = 1 << 16
 #: Letters in a unit, and units of a text.
 UNIT, UNITS = 24, 1 << 16
+#: Characters of the texts that a Python worker takes at once; a longer text goes alone.
+CHARS = 200_000
 #: EM steps for each set.
 STEPS = 12
 #: Log-likelihood that a further language has to bring, beside half the logarithm of the number of units.
@@ -176,7 +178,7 @@ def language_id(docs: DataFrame, model: Model | None = None, columns: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("op1")
         for b in batches:
-            for first, texts in slices(b, 2, 500_000):
+            for first, texts in slices(b, 2, CHARS):
                 found = mixtures(shipped.value, texts)
                 part = b.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(

@@ -123,10 +123,14 @@ def constant(raw: np.ndarray, ratio: np.ndarray, keep: float) -> float:
 def constant_frame(cells: DataFrame, keep: float) -> float:
     """constant() over any number of cells: each job tries 32 values."""
     low, high = 0.0, 1.0 / max(cells.agg(F.min("ratio")).first()[0], 1e-12)
+    total = cells.agg(F.sum("raw")).first()[0]
     for _ in range(12):
         tries = [low + (high - low) * k / 32 for k in range(33)]
-        got = cells.agg(F.sum("raw"), *[F.sum(F.col("raw") * F.least(F.lit(1.0), F.lit(c) * F.col("ratio"))) for c in tries]).first()
-        k = next((k for k in range(33) if got[k + 1] >= keep * got[0]), 32)
+        # One row for each value tried: the plan is the same for all values, and compiled once.
+        each = cells.select("raw", "ratio", F.posexplode(F.array(*[F.lit(c) for c in tries])).alias("k", "c"))
+        sums = each.groupBy("k").agg(F.sum(F.col("raw") * F.least(F.lit(1.0), F.col("c") * F.col("ratio"))).alias("kept"))
+        got = {r.k: r.kept for r in sums.collect()}  # 33 rows
+        k = next((k for k in range(33) if got[k] >= keep * total), 32)
         low, high = tries[max(0, k - 1)], tries[k]
     return high
 
@@ -178,8 +182,7 @@ def bounded_frame(cells: DataFrame, targets: dict[str, DataFrame], keep: float,
             step = F.when(F.col("now") - F.col("held") <= 0, F.least(F.lit(1.0), down)).when(F.col("goal") > F.col("now"), up).otherwise(down)
             factor = checkpoint(sums.join(goals[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", step.alias("factor_"), F.abs(F.col("now") / F.col("goal") - 1).alias("error")))
             errors.append(factor.agg(F.max("error")).first()[0])
-            now = now.join(factor, F.col(dim).eqNullSafe(F.col("level_"))).select(*cells.columns, F.least(F.lit(WHOLE), F.col("p") * F.col("factor_")).alias("p"))
-        now = checkpoint(now)
+            now = checkpoint(now.join(factor, F.col(dim).eqNullSafe(F.col("level_"))).select(*cells.columns, F.least(F.lit(WHOLE), F.col("p") * F.col("factor_")).alias("p")))
         if max(errors) < CLOSE:
             break
     c = constant_frame(now.select("raw", F.col("p").alias("ratio")), keep)
@@ -189,11 +192,12 @@ def bounded_frame(cells: DataFrame, targets: dict[str, DataFrame], keep: float,
 def marginals(cells: DataFrame) -> DataFrame:
     """dim, level, raw, target, reached: shares of each level in the data, as fitted, and in the expected sample."""
     out = None
-    n = cells.agg(F.sum("raw").alias("all_raw"), F.sum(F.col("raw") * F.col("ratio")).alias("all_target"), F.sum(F.col("raw") * F.col("probability")).alias("all_reached"))
+    n = cells.agg(F.sum("raw").alias("raw"), F.sum(F.col("raw") * F.col("ratio")).alias("target"), F.sum(F.col("raw") * F.col("probability")).alias("reached")).first()  # one row
     for d in DIMS:
         sums = cells.groupBy(F.lit(d).alias("dim"), F.col(d).alias("level")).agg(F.sum("raw").alias("raw"), F.sum(F.col("raw") * F.col("ratio")).alias("target"), F.sum(F.col("raw") * F.col("probability")).alias("reached"))
         out = sums if out is None else out.unionByName(sums)
-    return out.crossJoin(F.broadcast(n)).select("dim", "level", *[(F.col(c) / F.col(f"all_{c}")).alias(c) for c in ("raw", "target", "reached")])
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.lit(n[c]).cast("double"))
+    return out.select("dim", "level", *[share(c).alias(c) for c in ("raw", "target", "reached")])
 
 
 def calibrated(cells: DataFrame, keep: float = KEEP, targets: dict[str, DataFrame] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:

@@ -198,9 +198,11 @@ def repeated_words(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     every = scratch.table(texts.select("doc_id", "text_hash", F.inline(word_marks(F.col("text"), min_words))), "marks")
     place = F.struct("doc_id", "text_hash", "low")
     marks = every.groupBy("mark").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("mark")
+    # A table of its own, so that the join has an exchange on both sides and can split hot marks.
+    marks = scratch.table(marks, "joined_marks")
     ranges = every.join(marks, "mark", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     ranges = scratch.table(ranges, "ranges").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "ranges")
-    scratch.drop("marks")
+    scratch.drop("marks", "joined_marks")
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
     wanted = ranges.select("id_", "hash_")
     # Only texts with a joined mark move to their ranges, if their ids are few enough to tell them beforehand.
