@@ -70,19 +70,17 @@ class Scratch:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A small table, written and read again: cuts lineage and survives lost executors.
-
-    Unlike a checkpointed frame, a table read again brings no constraints along, which grow with each round of
-    a loop and make planning its largest part.
-    """
-    return Scratch(df.sparkSession, "small").table(df, "rows")
+    """Reliable, eager checkpoint of a small table: cuts lineage and survives lost executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
-def filesystem(uri: str):
-    """(pyarrow file system, path in it) of a folder that the driver and the executors share."""
-    from pyarrow import fs
+def settled(df: DataFrame) -> DataFrame:
+    """The same by a table that is written and read again, for loops of many rounds.
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "hdfs:")) else f"file://{uri}")
+    A checkpointed frame brings its constraints along, which grow with each round and make planning its largest part.
+    """
+    return Scratch(df.sparkSession, "small").table(df, "rows")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

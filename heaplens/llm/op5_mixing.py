@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heaplens.llm.common import checkpoint
+from heaplens.llm.common import checkpoint, settled
 
 LOG = logging.getLogger(__name__)
 DIMS = ("source", "lang", "topic")
@@ -97,15 +97,15 @@ def rake_local(raw: np.ndarray, levels: list[np.ndarray], targets: list[np.ndarr
 def rake_frame(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """cells with fitted shares in w: the same as rake_local for any number of cells, a checkpoint a sweep."""
     total = cells.agg(F.sum("raw")).first()[0]
-    now = checkpoint(cells.withColumn("w", F.col("raw") / float(total)))
+    now = settled(cells.withColumn("w", F.col("raw") / float(total)))
     for _ in range(sweeps):
         errors = []
         for dim in DIMS:
             sums = now.groupBy(F.col(dim).alias("level_")).agg(F.sum("w").alias("sum_"))
-            factor = checkpoint(sums.join(targets[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", (F.col("target") / F.col("sum_")).alias("factor_")))
+            factor = settled(sums.join(targets[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", (F.col("target") / F.col("sum_")).alias("factor_")))
             errors.append(factor.agg(F.max(F.abs(F.col("factor_") - 1))).first()[0])
             now = now.join(factor, F.col(dim).eqNullSafe(F.col("level_"))).select(*cells.columns, (F.col("w") * F.col("factor_")).alias("w"))
-        now = checkpoint(now)
+        now = settled(now)
         if max(errors) < CLOSE:
             break
     return now
@@ -164,15 +164,15 @@ def bounded(raw: np.ndarray, levels: list[np.ndarray], targets: list[np.ndarray]
 
 def bounded_frame(cells: DataFrame, targets: dict[str, DataFrame], keep: float, sweeps: int = SWEEPS) -> DataFrame:
     """cells (with ratio) and their probability: the same as bounded for any number of cells."""
-    now = checkpoint(cells.withColumn("p", F.col("ratio") * float(keep)))
+    now = settled(cells.withColumn("p", F.col("ratio") * float(keep)))
     if now.agg(F.max("p")).first()[0] <= 1:
         return now.withColumnRenamed("p", "probability")
     total, goals = cells.agg(F.sum("raw")).first()[0], {}
     for dim in DIMS:
         have = cells.groupBy(F.col(dim).alias("level_")).agg(F.sum("raw").alias("raw"))
-        have = checkpoint(have.join(targets[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", "raw", (F.col("target") / (F.col("raw") / float(total))).alias("ratio")))
+        have = settled(have.join(targets[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", "raw", (F.col("target") / (F.col("raw") / float(total))).alias("ratio")))
         c = constant_frame(have, keep)
-        goals[dim] = checkpoint(have.select(F.col("level_").alias("level"), F.col("raw").alias("have"), (F.col("raw") * F.least(F.lit(1.0), F.lit(c) * F.col("ratio"))).alias("goal")))
+        goals[dim] = settled(have.select(F.col("level_").alias("level"), F.col("raw").alias("have"), (F.col("raw") * F.least(F.lit(1.0), F.lit(c) * F.col("ratio"))).alias("goal")))
     for _ in range(sweeps):
         errors = []
         for dim in DIMS:
@@ -180,9 +180,9 @@ def bounded_frame(cells: DataFrame, targets: dict[str, DataFrame], keep: float,
             up = F.when(F.col("goal") >= F.col("have") * (1 - CLOSE), WHOLE).otherwise((F.col("goal") - F.col("held")) / F.greatest(F.col("now") - F.col("held"), F.lit(1e-300)))
             down = F.col("goal") / F.col("now")
             step = F.when(F.col("now") - F.col("held") <= 0, F.least(F.lit(1.0), down)).when(F.col("goal") > F.col("now"), up).otherwise(down)
-            factor = checkpoint(sums.join(goals[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", step.alias("factor_"), F.abs(F.col("now") / F.col("goal") - 1).alias("error")))
+            factor = settled(sums.join(goals[dim], F.col("level").eqNullSafe(F.col("level_"))).select("level_", step.alias("factor_"), F.abs(F.col("now") / F.col("goal") - 1).alias("error")))
             errors.append(factor.agg(F.max("error")).first()[0])
-            now = checkpoint(now.join(factor, F.col(dim).eqNullSafe(F.col("level_"))).select(*cells.columns, F.least(F.lit(WHOLE), F.col("p") * F.col("factor_")).alias("p")))
+            now = settled(now.join(factor, F.col(dim).eqNullSafe(F.col("level_"))).select(*cells.columns, F.least(F.lit(WHOLE), F.col("p") * F.col("factor_")).alias("p")))
         if max(errors) < CLOSE:
             break
     c = constant_frame(now.select("raw", F.col("p").alias("ratio")), keep)

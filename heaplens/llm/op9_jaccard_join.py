@@ -54,12 +54,12 @@ SKETCH = 2048
 #: Classes of a key that one task compares with each other.
 BLOCK = 4096
 #: Characters of the texts that a Python worker hashes at once; a longer text goes alone.
-CHARS = 300_000
+CHARS = 150_000
 #: Up to so many classes whose texts are needed (three longs, about 100 bytes each in a hash table: 50 MB) go to
 #: the executors by broadcast; beyond that the texts of all documents are shuffled to them.
 BROADCAST_DOCS = 500_000
 #: Rows of keys that a Python worker sums before they are shuffled.
-GATHER = 500_000
+GATHER = 250_000
 #: Pairs for each class of a block up to which all of its pairs are verified at once.
 ROOM = 8
 
