@@ -12,6 +12,8 @@ from heaplens.operators import sweep as S
 
 #: Names of the roots that hold a managed runtime's own memory.
 VM_ROOTS = ("Mono VM", "IL2CPP VM", "IL2CPPMemoryAllocator")
+#: System regions that are sent to all executors; more are shuffled, and the spans with them.
+BROADCAST = 1_000_000
 #: Groups and categories of the result.
 TOTALS, DISTRIBUTION, HEAP_USE = "Totals", "AllocatedMemoryDistribution", "ManagedHeapUtilization"
 CATEGORIES = ("Native", "Managed", "Executables & Mapped", "Graphics (Estimated)", "Untracked", "Android Runtime")
@@ -55,18 +57,22 @@ def classified(t: Snapshot, spans: DataFrame, heap_sections: DataFrame | None =
     Where there are system regions, spans outside all of them are left out.
     """
     regions = t.system_memory_regions.select(F.col("region_index").cast("long").alias("idx"), F.lit(S.SYSTEM).alias("kind"), F.col("type").alias("region_type"), F.col("name").alias("region_name"))
-    out = spans.join(regions, ["kind", "idx"], "left")
+    few = regions.limit(BROADCAST + 1).count() <= BROADCAST
+    out = spans.join(F.broadcast(regions) if few else regions, ["kind", "idx"], "left")
     if not t.system_memory_regions.isEmpty():
         out = out.where("region >= 0")
     if heap_sections is not None:
         out = out.join(heap_sections.select(F.col("section_index").cast("long").alias("idx"), F.lit(S.HEAP).alias("kind"), "is_vm"), ["kind", "idx"], "left")
     else:
         out = out.withColumn("is_vm", F.lit(None).cast("boolean"))
-    vm = t.native_roots.where(F.col("object_name").isin(*VM_ROOTS)).orderBy("root_index").limit(1).select(F.col("root_id").alias("root"))
-    rooted = t.native_allocations.select(F.lit(S.ALLOCATION).alias("kind"), F.col("allocation_index").cast("long").alias("idx"), F.col("root_reference_id").alias("root"))
-    rooted = rooted.unionByName(t.native_objects.select(F.lit(S.OBJECT).alias("kind"), F.col("native_object_index").cast("long").alias("idx"), F.col("root_reference_id").alias("root")))
-    held = rooted.join(F.broadcast(vm), "root", "left_semi").select("kind", "idx", F.lit(True).alias("in_vm"))  # one row
-    out = out.join(held, ["kind", "idx"], "left")
+    vm = t.native_roots.where(F.col("object_name").isin(*VM_ROOTS)).orderBy("root_index").select("root_id").first()
+    if vm is None or vm.root_id is None:
+        out = out.withColumn("in_vm", F.lit(False))
+    else:
+        rooted = t.native_allocations.select(F.lit(S.ALLOCATION).alias("kind"), F.col("allocation_index").cast("long").alias("idx"), F.col("root_reference_id").alias("root"))
+        rooted = rooted.unionByName(t.native_objects.select(F.lit(S.OBJECT).alias("kind"), F.col("native_object_index").cast("long").alias("idx"), F.col("root_reference_id").alias("root")))
+        held = rooted.where(F.col("root") == vm.root_id).select("kind", "idx", F.lit(True).alias("in_vm"))
+        out = out.join(held, ["kind", "idx"], "left")
     part = F.when((F.col("kind") == S.HEAP) & F.coalesce("is_vm", F.lit(False)), "Virtual Machine").when(F.col("kind") == S.HEAP, "Empty Heap Space").when(F.col("kind") == S.MANAGED, "Objects")
     return out.withColumns({"category": point_type(android), "heap_part": part, "in_vm": F.coalesce("in_vm", F.lit(False))})
 

@@ -72,6 +72,30 @@ def test_islands_change_nothing(spark, rows):
     assert spans_of(spark, rows)[1] == want
 
 
+def test_an_island_is_streamed_in_batches(tmp_path, monkeypatch):
+    """One island over several files: no step holds more than a batch of it, and the spans are those of a serial sweep."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(sweep, "BATCH", 7)
+    rnd = random.Random(1)
+    rows = [(1, 0, 0, 500)] + [(rnd.randint(2, 6), i, rnd.randint(0, 900), rnd.randint(1, 90)) for i in range(1, 300)]
+    pts = sorted(p for k, i, a, z in rows for key in [(k << sweep.KIND) + i + sweep.HALF] for p in ((a, key), (a + z, -key)))
+    cuts, files, opened = [0, 100, 101, 350, len(pts)], [], []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        files.append(f"file://{tmp_path}/{low}.parquet")
+        opened.append(sum(1 if key > 0 else -1 for _, key in pts[:low]))
+        pq.write_table(pa.table({"snapshot_id": ["s"] * (high - low), "at": [a for a, _ in pts[low:high]], "key": [k for _, k in pts[low:high]]}), tmp_path / f"{low}.parquet")
+    taken, after = [], sweep.Owners.after
+    own = sweep.Owners().after([k for _, k in pts])
+    monkeypatch.setattr(sweep.Owners, "after", lambda self, keys: taken.append(len(keys)) or after(self, keys))
+    got = [(r["kind"], r["idx"], r["address"], r["size"]) for n in range(len(files)) for b in sweep._swept(files, opened, n) for r in b.to_pylist()]
+    want = [(k >> sweep.KIND, (k & ((1 << sweep.KIND) - 1)) - sweep.HALF, p[0], q[0] - p[0]) for k, p, q in zip(own, pts, pts[1:], strict=False) if k and q[0] > p[0]]
+    assert got == want and max(taken) <= 7 and sum(taken) >= len(pts)
+
+
 def table(spark, name, rows):
     fields = schema(name).fieldNames()
     full = [tuple(r.get(f) for f in fields) for r in rows]
