@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from heaplens.catalog import Snapshot
 from heaplens.functions.numeric import human, rounded
-from heaplens.operators import sweep
+from heaplens.operators import intervals, sweep
 from heaplens.operators.graph import exclusive, reachable
 from heaplens.operators.intervals import asof_contained, contained
 from heaplens.operators.residency import resident_of, resident_ranges
@@ -34,6 +35,29 @@ def test_contained_against_brute_force(spark):
     assert left.count() == 300 and left.where("r is not null").count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_points_stay_where_they_are_if_intervals_are_few(spark, monkeypatch, most):
+    monkeypatch.setattr(intervals, "BROADCAST", most)
+    rng = random.Random(6)
+    regions = [(i, s, rng.choice([0, 1, 50, 70, 5000, 1 << 20]), rng.choice("ab")) for i, s in enumerate(rng.sample(range(-5000, 5000), 80))]
+    points = [(k, rng.randint(-6000, 20000)) for k in range(300)]
+    want = []
+    for k, a in points:
+        last = max((r for r in regions if r[1] <= a), key=lambda r: r[1], default=None)
+        want.append((k, a, last[0], last[3]) if last and a < last[1] + last[2] else (k, a, None, None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        args = spark.createDataFrame(points, "k int, a long"), "k", "a", spark.createDataFrame(regions, "r int, s long, z long, name string"), "s", "z", "r"
+        every, some = asof_contained(*args), asof_contained(*args, only=F.col("name") == "a")
+        assert sorted(map(tuple, every.select("k", "a", "r", "name").collect())) == sorted(want)
+        assert sorted(map(tuple, some.select("k", "a", "r", "name").collect())) == sorted(w for w in want if w[3] == "a")
+        for df in (every, some):
+            moved = "hashpartitioning(k#" in df._jdf.queryExecution().executedPlan().toString()
+            assert moved == (most == 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_equal_starts_take_the_largest(spark):
     regions = spark.createDataFrame([(5, 10, 4), (2, 10, 9), (1, 10, 9)], "r int, s long, z long")
     at = spark.createDataFrame([(0, 17)], "k int, a long")
