@@ -58,6 +58,17 @@ def test_points_stay_where_they_are_if_intervals_are_few(spark, monkeypatch, mos
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_enriched_allocations_are_shuffled_by_root_only(spark):
+    from heaplens.catalog import from_star
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = v_allocation_enriched(from_star(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(allocation_index#" not in plan and "hashpartitioning(root_reference_id#" in plan
+
+
 def test_equal_starts_take_the_largest(spark):
     regions = spark.createDataFrame([(5, 10, 4), (2, 10, 9), (1, 10, 9)], "r int, s long, z long")
     at = spark.createDataFrame([(0, 17)], "k int, a long")
