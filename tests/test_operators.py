@@ -12,7 +12,7 @@ from heaplens.operators import intervals, sweep
 from heaplens.operators.graph import exclusive, reachable
 from heaplens.operators.intervals import asof_contained, contained
 from heaplens.operators.residency import resident_of, resident_ranges
-from heaplens.plans import summary
+from heaplens.plans import summary, views
 from heaplens.plans.views import v_allocation_enriched
 from heaplens.schema import changes_since, evaluate, schema
 
@@ -69,6 +69,32 @@ def test_enriched_allocations_are_shuffled_by_root_only(spark):
     assert "hashpartitioning(allocation_index#" not in plan and "hashpartitioning(root_reference_id#" in plan
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_allocations_find_the_objects_of_their_root_where_they_are(spark, monkeypatch, most):
+    monkeypatch.setattr(views, "BROADCAST", most)
+    roots, kinds = [1, 2, 2, 3, 5], [(10, 1, "a"), (11, 1, None), (12, 2, "b"), (13, 4, "c"), (14, 9, "d"), (15, 4, "c")]
+    owned = [(0, 1, 7), (1, 2, None), (2, 3, 8), (3, 4, 7), (4, 6, 7), (5, None, 8), (6, 1, 7)]
+    rows = {
+        "native_allocations": [{"allocation_index": i, "address": i * 10 + 1, "size_bytes": 4, "root_reference_id": r, "memory_region_index": m} for i, r, m in owned],
+        "native_roots": [{"root_index": i, "root_id": r, "area_name": f"area{i}"} for i, r in enumerate(roots)],
+        "native_objects": [{"native_object_index": i, "root_reference_id": r, "native_type_name": k, "name": f"o{i}"} for i, r, k in kinds],
+        "memory_regions": [{"region_index": 7, "name": "seven"}],
+    }
+    want = []
+    for i, r, m in owned:
+        for area in [f"area{j}" for j, x in enumerate(roots) if x == r] or [None]:
+            want += [(i, "seven" if m == 7 else None, r, area, *o) for o in [(j, k, f"o{j}") for j, x, k in kinds if x == r] or [(None,) * 3]]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = v_allocation_enriched(Snapshot(spark, {n: table(spark, n, x) for n, x in rows.items()}))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = df.select("allocation_index", "unity_region_name", "root_reference_id", "area_name", "native_object_index", "native_type_name", "object_name").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert ("SortMergeJoin" in plan) == (most == 0)
+
+
 def test_equal_starts_take_the_largest(spark):
     regions = spark.createDataFrame([(5, 10, 4), (2, 10, 9), (1, 10, 9)], "r int, s long, z long")
     at = spark.createDataFrame([(0, 17)], "k int, a long")
