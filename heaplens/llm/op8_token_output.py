@@ -24,20 +24,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heaplens.llm import huffman
 from heaplens.llm.common import Scratch, filesystem, partitions
-from heaplens.llm.shingles import slices
 
 #: Ids in a shard, documents being kept whole.
 SHARD_TOKENS = 1 << 20
 #: Entries of the per-process cache from a word's bytes to its ids.
 CACHE_WORDS = 1_200_000
 NO_ID = -(1 << 63)
+#: Bytes of text whose distinct words are looked up together: the more, the fewer look-ups.
+LOOKUP_BYTES = 1 << 23
 #: ASCII characters that are neither letters, digits, white space nor control characters.
-MARKS = string.punctuation.encode()
+MARKS = string.punctuation
+#: The first character after the Latin letters.
+LATIN_END = "\u0250"
+#: Words of characters that are Latin letters in lower case, too.
+PLAIN = f"^[{''.join(c for c in map(chr, range(ord(LATIN_END))) if all(x.isalpha() and x < LATIN_END for x in c.lower()))}]*$"
 
 
 class WordEncoder:
@@ -48,6 +54,8 @@ class WordEncoder:
     of Latin letters only are single pre-tokens that normalisation only lower-cases: the library encodes
     many in one call of a copy that splits at spaces alone, and end-of-word pieces tell them apart. All
     other words go through the full tokenizer, and texts that may hold a special token go there whole.
+
+    Arrow splits many texts at once and numbers their words, so that Python sees each distinct word only.
     """
 
     def __init__(self, path: str):
@@ -63,7 +71,6 @@ class WordEncoder:
         self.width = "<u2" if size <= 1 << 16 else "<u4"
         self.ends = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.width).tobytes()
@@ -80,50 +87,78 @@ class WordEncoder:
             raw = ids.tobytes()
             self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Put words, whose A-Z are in lower case, into the cache.
-
-        Letters and the ASCII marks after them are two pre-tokens: the ids of the stem, then of the tail.
-        """
-        cache, plain, same, odd, parted = self.cache, set(), {}, [], []
+    def _learn(self, new: list[bytes]) -> None:
+        """Put words, whose A-Z are in lower case, into the cache."""
+        cache, plain, same = self.cache, set(), {}
         for w in new:
-            stem = w.rstrip(MARKS)
-            if stem.isalpha():  # ASCII letters
-                plain.add(stem)
-            elif not stem:
-                odd.append(w)
+            if w.isalpha():  # ASCII letters
+                plain.add(w)
                 continue
+            low = w.decode().lower()
+            if low.isalpha() and max(low) < LATIN_END:
+                same[w] = low.encode()
+                plain.add(same[w])
             else:
-                low = stem.decode().lower()
-                if not low.isalpha() or max(low) >= "\u0250":
-                    odd.append(w)
-                    continue
-                same[stem] = low.encode()
-                plain.add(same[stem])
-            if len(stem) < len(w):
-                parted.append((w, stem))
+                cache[w] = self._ids(w.decode())
         self._letters(list(plain.difference(cache)))
-        cache.update((w, self._ids(w.decode())) for w in odd)
         for w, low in same.items():
             cache[w] = cache[low]
-        for w, stem in parted:
-            tail = w[len(stem) :]
-            if tail not in self.tails:
-                self.tails[tail] = self._ids(tail.decode())
-            cache[w] = cache[stem] + self.tails[tail]
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        raw = [(t or "").encode() for t in texts]
-        words = [None if b"<|" in r else r.lower().split() for r in raw]
-        every = set().union(*(w for w in words if w))
-        new = every.difference(self.cache)
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each of some distinct words.
+
+        Letters and the ASCII marks after them are two pre-tokens: the ids of the stem, then of the tail.
+        """
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        size = pc.if_else(pc.match_substring_regex(stems, PLAIN), pc.binary_length(stems), pc.binary_length(words))
+        _, bounds, data = words.buffers()
+        cuts = np.repeat(np.frombuffer(bounds, np.int32)[words.offset : words.offset + len(words) + 1], 2)[:-1]
+        cuts[1::2] += size.to_numpy(zero_copy_only=False)
+        parts = pa.Array.from_buffers(pa.binary(), 2 * len(words), [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        every = parts.dictionary.to_pylist()
+        ids = list(map(self.cache.get, every))
+        new = [w for w, x in zip(every, ids, strict=True) if x is None]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            self.tails.clear()
-            new = every
         self._learn(new)
-        get = self.cache.__getitem__
-        return [self._ids(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+        ids = [self.cache[w] if x is None else x for w, x in zip(every, ids, strict=True)]
+        return joined(pa.array(ids, pa.large_binary()), parts.indices, np.arange(0, 2 * len(words) + 1, 2))
+
+    def column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text, then ``end``, as a binary column."""
+        texts = texts.cast(pa.string()).fill_null("")
+        special = pc.match_substring(texts, "<|")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "x", texts)))  # "x" holds a place
+        at = split.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        words = split.flatten().dictionary_encode()
+        n, whole = len(words.dictionary), np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        index = words.indices.to_numpy().copy()
+        index[at[whole]] = n + 1 + np.arange(len(whole))
+        others = [end, *(self._ids(texts[i].as_py()) for i in whole.tolist())]
+        pool = pa.concat_arrays([self._words(words.dictionary), pa.array(others, pa.large_binary())])
+        return joined(pool, pa.array(np.insert(index, at[1:], n)), at + np.arange(len(at))).cast(pa.binary())
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        return self.column(pa.array(texts, pa.string())).to_pylist()
+
+
+def joined(pool: pa.Array, index: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The entries of pool that index names, those between two bounds joined to one value."""
+    taken = pool.take(index)
+    _, ends, data = taken.buffers()
+    cuts = np.frombuffer(ends, np.int64)[taken.offset + bounds]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(cuts), data])
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows (the first, how many) whose texts have up to LOOKUP_BYTES bytes; a longer text is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = before = 0
+    while first < len(ends):
+        stop = max(first + 1, int(np.searchsorted(ends, before + LOOKUP_BYTES, "right")))
+        yield first, stop - first
+        first, before = stop, int(ends[stop - 1])
 
 
 @lru_cache(maxsize=2)
@@ -138,9 +173,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         enc = encoder(path)
         end = np.array([end_id], enc.width).tobytes()
         for b in batches:
-            for first, texts in slices(b, 1):
-                ids = [x + end for x in enc.batch(texts)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for first, n in runs(b.column(1)):
+                ids = enc.column(b.column(1).slice(first, n), end)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), ids], ["doc_id", "ids"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -5,11 +5,13 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from heaplens.llm import huffman
+from heaplens.llm import op8_token_output as op
 from heaplens.llm.op8_token_output import WordEncoder, read_tokens, token_output
 from heaplens.llm.queries import tokenizer_path
 
@@ -59,6 +61,46 @@ def test_word_by_word_is_the_library(parts, joint):
     assert np.frombuffer(enc.batch([text])[0], enc.width).tolist() == enc.lib.encode(text, add_special_tokens=False).ids
 
 
+class Counted(dict):
+    looked = 0
+
+    def get(self, *a):
+        self.looked += 1
+        return super().get(*a)
+
+    def __getitem__(self, k):
+        self.looked += 1
+        return super().__getitem__(k)
+
+
+def test_words_are_looked_up_once_for_many_texts():
+    enc = WordEncoder(PATH)
+    enc.cache = Counted()
+    texts = ["one two, Two. \u00c9t\u00e9, \u00e9t\u00e9 x1. don't x1 don't, ... " * 50, None, "two one <|endoftext|> two", "", "\n one\t"] * 40
+    got = enc.batch(texts)
+    assert [np.frombuffer(x, enc.width).tolist() for x in got] == [enc.lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert enc.cache.looked < 100  # about 20 different words, 22,000 in all
+
+
+@pytest.mark.parametrize("bound", [1, 12, 1 << 23])
+def test_runs_cover_all_rows_and_keep_to_their_size(monkeypatch, bound):
+    monkeypatch.setattr(op, "LOOKUP_BYTES", bound)
+    texts = pa.array(["skipped", "four", None, "", "a text longer than a run", "four", "four", "four", None])[1:]
+    runs = list(op.runs(texts))
+    assert [i for first, n in runs for i in range(first, first + n)] == list(range(len(texts)))
+    assert all(n == 1 or sum(len(t or "") for t in texts.slice(first, n).to_pylist()) <= bound for first, n in runs)
+    enc = WordEncoder(PATH)
+    got = [x for first, n in runs for x in enc.column(texts.slice(first, n), b"\1\0").to_pylist()]
+    assert [np.frombuffer(x, enc.width).tolist() for x in got] == [enc.lib.encode(t or "", add_special_tokens=False).ids + [1] for t in texts.to_pylist()]
+
+
+def test_a_full_cache_is_emptied(monkeypatch):
+    monkeypatch.setattr(op, "CACHE_WORDS", 3)
+    enc = WordEncoder(PATH)
+    for text in ("one two three", "one four, Two", "five one x1 six seven", "one"):
+        assert np.frombuffer(enc.batch([text])[0], enc.width).tolist() == enc.lib.encode(text, add_special_tokens=False).ids
+
+
 def test_output(spark):
     rows = [(9, "Some words, some more."), (2, None), (4, ""), (None, "x"), (3, "long " * 40000), (3, "again"), (2, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as start")
